@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import simhash
+from . import quality, simhash
 
-MODULES = (simhash,)
+MODULES = (simhash, quality)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
