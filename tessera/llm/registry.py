@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import mixing, quality, simhash
+from . import licenses, mixing, quality, simhash
 
-MODULES = (simhash, quality, mixing)
+MODULES = (simhash, quality, mixing, licenses)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
