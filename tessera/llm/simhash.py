@@ -145,6 +145,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One document of each near-duplicate group: the one of least doc_id.
+
+    A doc_id that comes twice stays once; rows without doc_id can't be named as
+    members of a group and stay.
+    """
+    first = (near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct())
+    return (docs.join(first, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
+            .unionByName(docs.where("doc_id is null")))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
