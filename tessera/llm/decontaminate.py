@@ -14,13 +14,11 @@ blocks are more passes, whose hits are merged by document.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,18 +27,64 @@ from .common import table
 WINDOW, GRAM = 13, 5
 #: UTF-8 bytes of benchmark text in one block: what a task holds at once.
 BLOCK_BYTES = 16 << 20
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text whose words are hashed together.
+SLICE_BYTES = 1 << 20
+_BASE, _MIX, _PLACE = 0x5851F42D4C957F2D, np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 24) - 1)
 
 
-def word_hashes(raw: bytes | None, known: dict[bytes, int]) -> np.ndarray:
-    """A 64-bit hash of every word of the lower-cased text."""
-    found = WORD.findall((raw or b"").lower())
-    if len(known) > 500_000:
-        known.clear()
-    for w in set(found) - known.keys():
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+class Speech:
+    """Texts as arrays: a hash of every word, and the text it belongs to.
+
+    A word's hash is a polynomial of its lower-cased bytes over 64 bits, mixed;
+    all words of a slice of texts are hashed together.
+    """
+
+    def __init__(self):
+        signs = np.arange(256, dtype=np.uint64)
+        upper = (signs >= 65) & (signs <= 90)
+        self.low = np.where(upper, signs + np.uint64(32), signs) + np.uint64(1)
+        self.spoken = (signs >= 128) | ((signs >= 48) & (signs <= 57)) | ((signs >= 97) & (signs <= 122)) | upper
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(texts, hashes, text of each word) for SLICE_BYTES at a time."""
+        texts = pa.array(texts).cast(pa.binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        if texts.null_count:
+            texts = pa.array([x.as_py() or b"" for x in texts], pa.binary())
+            offsets = np.frombuffer(texts.buffers()[1], np.int32).astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+            yield to - at, *self._words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            at = to
+
+    def _words(self, s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) <= len(s):
+            self.up, self.down = _powers(_BASE, len(s) * 2 + 1), _powers(pow(_BASE, -1, 1 << 64), len(s) * 2 + 1)
+        inside = np.zeros(len(s) + 2, np.int8)
+        inside[1:-1] = self.spoken[s]
+        starts, ends = np.flatnonzero(np.diff(inside) == 1), np.flatnonzero(np.diff(inside) == -1)
+        # A text's end also ends a word.
+        cuts = bounds[1:-1]
+        cuts = np.unique(cuts[(cuts > 0) & (cuts < len(s))])
+        cuts = cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)]
+        if len(cuts):
+            starts, ends = np.sort(np.append(starts, cuts)), np.sort(np.append(ends, cuts))
+        total = np.zeros(len(s) + 1, np.uint64)
+        np.cumsum(self.low[s] * self.up[: len(s)], out=total[1:])
+        h = (total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= _MIX
+        h ^= h >> np.uint64(29)
+        return h, np.searchsorted(bounds, starts, "right") - 1
 
 
 def gram_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -57,35 +101,43 @@ def gram_hashes(h: np.ndarray, width: int) -> np.ndarray:
 
 def winnow(grams: np.ndarray, span: int) -> np.ndarray:
     """Places of the least (then rightmost) hash of every `span` neighbours."""
-    if len(grams) < span:
-        return np.empty(0, np.int64)
     n = len(grams) - span + 1
-    least, at = grams[:n].copy(), np.arange(n)
-    for k in range(1, span):
-        better = grams[k : k + n] <= least
-        least = np.where(better, grams[k : k + n], least)
-        at[better] = np.flatnonzero(better) + k
-    return np.unique(at)
+    if n <= 0:
+        return np.empty(0, np.int64)
+    if span == 1:
+        return np.arange(n)
+    if len(grams) > int(_PLACE):  # places fit the low bits piece by piece; pieces overlap
+        step = int(_PLACE) - span
+        return np.unique(np.concatenate([winnow(grams[k : k + step + span - 1], span) + k for k in range(0, n, step)]))
+    ranked = (grams & ~_PLACE) | (_PLACE - np.arange(len(grams), dtype=np.uint64))
+    rows = -(-len(grams) // span)
+    padded = np.full(rows * span, np.iinfo(np.uint64).max, np.uint64)
+    padded[: len(grams)] = ranked
+    blocks = padded.reshape(rows, span)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(behind[:n], ahead[span - 1 : span - 1 + n])
+    chosen = (_PLACE - (least & _PLACE)).astype(np.int64)
+    return chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])]
 
 
 class Windows:
     """The distinct windows of a block of items, by window length."""
 
     def __init__(self, items: list[tuple[str, bytes]]):
-        known: dict[bytes, int] = {}
         gathered: dict[int, dict[bytes, set[int]]] = {}
         prints: dict[int, set[int]] = {}
         self.ids = sorted({i for i, _ in items})
-        place = {i: k for k, i in enumerate(self.ids)}
+        place, speech = {i: k for k, i in enumerate(self.ids)}, Speech()
         for item, raw in items:
-            h = word_hashes(raw, known)
-            if not len(h):
-                continue
-            width = min(WINDOW, len(h))
-            for k in range(len(h) - width + 1):
-                gathered.setdefault(width, {}).setdefault(h[k : k + width].tobytes(), set()).add(place[item])
-            grams = gram_hashes(h, min(GRAM, width))
-            prints.setdefault(width, set()).update(grams[winnow(grams, width - min(GRAM, width) + 1)].tolist())
+            for _, h, _ in speech.slices(pa.array([raw], pa.binary())):
+                if not len(h):
+                    continue
+                width = min(WINDOW, len(h))
+                for k in range(len(h) - width + 1):
+                    gathered.setdefault(width, {}).setdefault(h[k : k + width].tobytes(), set()).add(place[item])
+                grams = gram_hashes(h, min(GRAM, width))
+                prints.setdefault(width, set()).update(grams[winnow(grams, width - min(GRAM, width) + 1)].tolist())
         self.kinds = []
         for width, found in sorted(gathered.items()):
             texts = np.frombuffer(b"".join(found), np.uint64).reshape(-1, width)
@@ -94,9 +146,10 @@ class Windows:
             items_of = [np.fromiter(found[t.tobytes()], np.int32) for t in texts[order]]
             self.kinds.append((width, np.array(sorted(prints[width]), np.uint64), hashes[order], texts[order], items_of))
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, set[int]]:
-        """Which words lie in an occurrence of a window, and whose windows occur."""
-        covered, items = np.zeros(len(h) + 1, np.int64), set()
+    def hits(self, h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, dict[int, set[int]]]:
+        """Which words lie in an occurrence of a window, and by text the items
+        whose windows occur. Windows lie within one text."""
+        covered, items = np.zeros(len(h) + 1, np.int64), {}
         for width, prints, hashes, texts, items_of in self.kinds:
             if len(h) < width:
                 continue
@@ -109,6 +162,7 @@ class Windows:
             # Windows that hold a met fingerprint, then their exact words.
             starts = np.unique((met[:, None] - np.arange(width - gram + 1)[None, :]).ravel())
             starts = starts[(starts >= 0) & (starts <= len(h) - width)]
+            starts = starts[owner[starts] == owner[starts + width - 1]]
             own = h[starts[:, None] + np.arange(width)[None, :]]
             code = np.zeros(len(starts), np.uint64)
             for k in range(width):
@@ -120,7 +174,7 @@ class Windows:
                     if (texts[k] == own[row]).all():
                         covered[starts[row]] += 1
                         covered[starts[row] + width] -= 1
-                        items.update(items_of[k].tolist())
+                        items.setdefault(int(owner[starts[row]]), set()).update(items_of[k].tolist())
         return np.cumsum(covered[:-1]) > 0, items
 
 
@@ -136,15 +190,15 @@ def _runs(hit: np.ndarray) -> list[int]:
 
 def _scan(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, known = block.value, {}
+        windows, speech = block.value, Speech()
         for batch in batches:
             sizes, runs, items = [], [], []
-            for raw in batch.column(1):
-                h = word_hashes(raw.as_py(), known)
-                hit, found = windows.hits(h)
-                sizes.append(len(h))
-                runs.append(_runs(hit))
-                items.append([windows.ids[k] for k in sorted(found)])
+            for n, h, owner in speech.slices(batch.column(1)):
+                hit, found = windows.hits(h, owner)
+                first = np.searchsorted(owner, np.arange(n + 1))
+                sizes += np.diff(first).tolist()
+                runs += [_runs(hit[first[k] : first[k + 1]]) if k in found else [] for k in range(n)]
+                items += [[windows.ids[x] for x in sorted(found.get(k, ()))] for k in range(n)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
                 names=["row", "n_words", "runs", "items"])
@@ -222,13 +276,13 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     block = docs.sparkSession.sparkContext.broadcast(Windows(first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, known = block.value, {}
+        windows, speech = block.value, Speech()
         for batch in batches:
             keep = []
-            for raw in batch.column("text").cast(pa.binary()):
-                h = word_hashes(raw.as_py(), known)
-                n_hit = int(windows.hits(h)[0].sum())
-                keep.append(not (n_hit and 20 * n_hit >= len(h)))
+            for n, h, owner in speech.slices(batch.column("text")):
+                hit, _ = windows.hits(h, owner)
+                words, hits = (np.bincount(owner, x, n) for x in (None, hit))
+                keep += ((hits == 0) | (20 * hits < words)).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
