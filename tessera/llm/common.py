@@ -47,7 +47,8 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column, separators: str) -> Column:
     """The maximal runs without separators; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), separators), lambda w: w != "")
+    ends = F.regexp_replace(F.coalesce(text, F.lit("")), rf"\A{separators}|{separators}\z", "")
+    return F.when(ends == "", F.array().cast("array<string>")).otherwise(F.split(ends, separators))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, table, words
+from .common import SPACE, table, words
 
 #: Frequent words of the corpus languages.
 STOP_WORDS = tuple(
@@ -37,14 +37,11 @@ class Rule:
 #: Documents pass every rule or go. Ratios of nothing count as zero.
 RULES = (
     Rule("symbols a word", "n_symbols", "n_words", most=0.2),
-    Rule("lone separators", "n_lone", "n_words", most=0.2),
     Rule("stop words", "n_stop", "n_words", least=0.02),
-    Rule("shouted letters", "n_upper", "n_letters", most=0.5),
-    Rule("exclamation a word", "n_shout", "n_words", most=0.2),
+    Rule("shouted words", "n_upper", "n_words", most=0.5),
+    Rule("exclamation marks a word", "n_shout", "n_words", most=0.2),
     Rule("mean word length", "word_chars", "n_words", least=2.0, most=14.0),
-    Rule("longest word", "longest_word", "one", most=1000),
     Rule("repeated lines", "n_dup_lines", "n_lines", most=0.5),
-    Rule("same word again", "n_stutter", "n_words", most=0.3),
 )
 
 
@@ -55,67 +52,57 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _repeat_words(ws: Column) -> Column:
     """Words covered by a 3-word window that the text holds twice or more.
 
-    Windows sorted by content stand beside their equals, so one look at both
-    neighbours marks them; covered words are the marked starts and two more.
+    Windows are 64-bit hashes of their three words. Texts whose hashes are all
+    different, which are most, end there. Else the hashes are sorted with their
+    places, so that one look at the neighbour marks equals; covered words are
+    the marked starts and two more each.
     """
-    def covered(w: Column) -> Column:
-        grams = F.zip_with(
-            F.zip_with(F.slice(w, 1, F.size(w) - 2), F.slice(w, 2, F.size(w) - 2), lambda a, b: F.concat_ws(" ", a, b)),
-            F.slice(w, 3, F.size(w) - 2), lambda a, b: F.concat_ws(" ", a, b))
-        placed = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    n = F.size(ws) - 2
+    grams = F.transform(
+        F.arrays_zip(F.slice(ws, 1, n).alias("a"), F.slice(ws, 2, n).alias("b"), F.slice(ws, 3, n).alias("c")),
+        lambda x: F.xxhash64(x["a"], x["b"], x["c"]))
 
+    def covered(g: Column) -> Column:
         def marked(p: Column) -> Column:
             twins = F.zip_with(
                 F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1),
                 lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"])))
-            starts = F.array_sort(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
+            starts = F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
             state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
             return F.aggregate(
                 starts, state,
                 lambda s, i: F.struct((s["n"] + i + 3 - F.greatest(s["end"], i)).cast("long").alias("n"), (i + 3).alias("end")),
                 lambda s: s["n"])
 
-        return F.when(F.size(placed) < 2, F.lit(0).cast("long")).otherwise(_let(placed, marked))
+        placed = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(_let(placed, marked))
 
-    return F.when(F.size(ws) < 4, F.lit(0).cast("long")).otherwise(_let(ws, covered))
-
-
-def measures(text: Column) -> dict[str, Column]:
-    """Counts that need the text alone; the rest is made from its words."""
-    text = F.coalesce(text, F.lit(""))
-    spaceless = lambda line: F.regexp_replace(line, SPACE, "") != ""
-    lines = F.filter(F.split(text, "\n"), spaceless)
-    return {
-        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_shout": F.length(F.regexp_replace(text, r"[^!]+", "")).cast("long"),
-        "n_upper": F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("long"),
-        "n_letters": F.length(F.regexp_replace(text, r"\P{L}+", "")).cast("long"),
-        "__lines": lines,
-    }
+    return F.when(F.size(ws) < 4, F.lit(0).cast("long")).otherwise(_let(grams, covered))
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The given columns and every measure, in columns of a struct `m`."""
-    text = F.col(text_col).cast("string")
-    staged = docs.select("*", F.struct(
-        words(text, SPACE).alias("ws"), *(c.alias(k) for k, c in measures(text).items())).alias("__q"))
-    ws, lines = F.col("__q.ws"), F.col("__q.__lines")
-    stop = F.array(*map(F.lit, sorted(set(STOP_WORDS))))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+
+    def counts(ws: Column) -> Column:
+        made = {
+            "n_words": F.size(ws), "word_chars": F.length(F.array_join(ws, "")), "n_repeat_words": _repeat_words(ws),
+            "n_stop": F.size(F.filter(ws, lambda w: F.lower(w).isin(*sorted(set(STOP_WORDS))))),
+        }
+        return F.struct(*(c.cast("long").alias(k) for k, c in made.items()))
+
     made = {
-        "one": F.lit(1).cast("long"),
-        "n_words": F.size(ws).cast("long"),
-        "word_chars": F.aggregate(ws, F.lit(0).cast("long"), lambda s, w: s + F.length(w)),
-        "longest_word": F.aggregate(ws, F.lit(0).cast("long"), lambda s, w: F.greatest(s, F.length(w).cast("long"))),
-        "n_stop": F.size(F.filter(ws, lambda w: F.array_contains(stop, ascii_lower(F.rtrim(w, F.lit(".,;:!?%*$&#")))))).cast("long"),
-        "n_lone": F.size(F.filter(ws, lambda w: F.length(w) == F.length(F.regexp_replace(w, r"[\p{L}\p{N}]+", "")))).cast("long"),
-        "n_stutter": F.aggregate(
-            ws, F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("n")),
-            lambda s, w: F.struct(w.alias("last"), (s["n"] + (s["last"] == w).cast("long")).alias("n")), lambda s: s["n"]),
-        "n_lines": F.size(lines).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": _repeat_words(ws),
-    } | {k: F.col(f"__q.{k}") for k in ("n_symbols", "n_shout", "n_upper", "n_letters")}
-    return staged.select("*", F.struct(*(c.alias(k) for k, c in made.items())).alias("m")).drop("__q")
+        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")), "n_shout": F.regexp_count(text, F.lit("!")),
+        "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}{2,}")),
+    }
+    line_counts = _let(lines, lambda x: F.struct(
+        F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    staged = docs.select("*", _let(words(text, SPACE), counts).alias("__w"), line_counts.alias("__l"))
+    fields = [F.col(f"__w.{k}").alias(k) for k in ("n_words", "word_chars", "n_repeat_words", "n_stop")]
+    fields += [F.col(f"__l.{k}").alias(k) for k in ("n_lines", "n_dup_lines")]
+    fields += [c.cast("long").alias(k) for k, c in made.items()]
+    return staged.select("*", F.struct(*fields).alias("m")).drop("__w", "__l")
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
