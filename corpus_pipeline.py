@@ -40,7 +40,7 @@ STAGES = [
     ("token_output", token_output),
 ]
 
-#: Bit votes and the tokenizer have no SQL form; tests/llm holds run() against plain loops.
+#: Bit votes and the tokenizer have no SQL form; tests/llm holds each stage's operator against plain loops.
 ORACLE_SQL = None
 
 
