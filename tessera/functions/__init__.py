@@ -1,3 +1,3 @@
-from . import aggregates, scalars
+from . import aggregates, scalars, spans
 
-__all__ = ["aggregates", "scalars"]
+__all__ = ["aggregates", "scalars", "spans"]

@@ -231,7 +231,7 @@ def compare_text(a, b):
     return compare(F.lower(_c(a)), F.lower(_c(b)))
 
 
-for _name, _pattern in {"is_upper": r"\p{Lu}+", "is_lower": r"\p{Ll}+", "is_letter": r"\p{L}+", "is_digit": r"\p{Nd}+", "is_letter_or_digit": r"[\p{L}\p{Nd}]+"}.items():
+for _name, _pattern in {"is_upper": r"[\p{Lu}\P{L}]*", "is_lower": r"[\p{Ll}\P{L}]*", "is_letter": r"\p{L}*", "is_digit": r"\p{Nd}*", "is_letter_or_digit": r"[\p{L}\p{Nd}]*"}.items():
     REGISTRY[_name] = (lambda p: lambda s: F.regexp_like(_c(s), F.lit(rf"\A{p}\z")))(_pattern)
 for _name in ("upper", "lower", "trim", "ltrim", "rtrim", "base64", "url_encode", "url_decode"):
     REGISTRY[_name] = (lambda f: lambda s: f(_c(s)))(getattr(F, _name))

@@ -1,5 +1,6 @@
 """Registered queries: one for each operator, with the SQL that says the same."""
 
+from . import families
 from .queries import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+__all__ = ["ORACLE_SQL", "QUERIES", "families"]

@@ -200,7 +200,7 @@ def user_aggregate(t):
     return t("nation").group(["n_regionkey"], squares=A.custom("n_nationkey", F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x.cast("long")))
 
 
-@query("SELECT *, row_number() OVER (ORDER BY n_regionkey, n_name DESC)::INT AS seq FROM nation")
+@query("SELECT *, row_number() OVER (ORDER BY n_regionkey, n_name DESC) AS seq FROM nation")
 def order_sequence(t):
     return t("nation").order("n_regionkey", "-n_name", sequence="seq")
 
@@ -222,7 +222,7 @@ def browse_page(t):
 
 @query("""WITH RECURSIVE e AS (SELECT n_nationkey AS id, n_name AS name, 1 AS level, [n_nationkey] AS path FROM nation WHERE n_nationkey = 0
   UNION ALL SELECT n_nationkey, n_name, level + 1, list_append(path, n_nationkey) FROM nation JOIN e ON n_nationkey > 0 AND (n_nationkey - 1) // 3 = e.id)
-  SELECT id, name, level, row_number() OVER (ORDER BY path)::INT AS sequence FROM e""")
+  SELECT id, name, level, row_number() OVER (ORDER BY path) AS sequence FROM e""")
 def explode(t):
     tree = t("nation").specify(id="n_nationkey", name="n_name", up="case when n_nationkey > 0 then cast(floor((n_nationkey - 1) / 3) as int) end")
     return tree.explode("id = 0", ("id", "up"), order=["id"]).df.select("id", "name", "level", "sequence")

@@ -1,3 +1,4 @@
+from . import changes
 from .relation import Relation
 
-__all__ = ["Relation"]
+__all__ = ["Relation", "changes"]

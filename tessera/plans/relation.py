@@ -12,9 +12,10 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import durable, numbered
+
 Key = frozenset
 Expression = "Column | str"
 
@@ -61,7 +62,7 @@ class Relation:
         return replace(self, df=self.df.where(condition), keys=_least(k - Key(equal) for k in self.keys))
 
     def over(self, *names: str) -> Relation:
-        return self._made(self.df.select(*names), [k for k in self.keys if k <= set(names)])
+        return self._made(self.df.select(*(F.col(f"`{c}`") for c in names)), [k for k in self.keys if k <= set(names)])
 
     def remove(self, *names: str) -> Relation:
         return self.over(*[c for c in self.columns if c not in names])
@@ -105,10 +106,13 @@ class Relation:
     def _common(self, other: Relation) -> list[str]:
         return [c for c in self.columns if c in other.columns]
 
-    def _join_keys(self, other: Relation, left_on: Iterable[str], right_on: Iterable[str]) -> list[Key]:
-        """Which side's rows meet at most one of the other's decides."""
-        one_right = any(k <= set(right_on) for k in other.keys)
-        one_left = any(k <= set(left_on) for k in self.keys)
+    def _join_keys(self, other: Relation, left_on: Iterable[str], right_on: Iterable[str], how: str) -> list[Key]:
+        """Which side's rows meet at most one of the other's decides. The side
+        that an outer join fills with nil has no key alone: many rows are nil in it."""
+        if how == "full":
+            return []
+        one_right = any(k <= set(right_on) for k in other.keys) and how != "right"
+        one_left = any(k <= set(left_on) for k in self.keys) and how != "left"
         if one_left and one_right:
             return [*self.keys, *other.keys]
         if one_right:
@@ -119,7 +123,8 @@ class Relation:
 
     def join(self, other: Relation, by: Mapping[str, str] | None = None, how: str = "inner", row_exists: str | None = None) -> Relation:
         """Natural join, or by pairs of columns of different names; nil meets
-        nothing. how: inner, left or right. row_exists names a flag column."""
+        nothing. how: inner, left, right or, as an extension, full, where no key
+        is known to hold. row_exists names a flag column."""
         on = dict(by) if by else {c: c for c in self._common(other)}
         if by and self._common(other):
             raise ValueError(f"both sides have {self._common(other)}")
@@ -137,11 +142,14 @@ class Relation:
             df = left.join(right, list(on), how)
         if row_exists:
             df = df.withColumn(row_exists, F.coalesce(row_exists, F.lit(False)))
-        return self._made(df, self._join_keys(other, on, on.values()))
+        return self._made(df, self._join_keys(other, on, on.values(), how))
 
     def left_join(self, other: Relation, by: Mapping[str, str] | None = None, row_exists: str | None = None) -> Relation:
         return self.join(other, by, "left", row_exists)
 
+    def full_join(self, other: Relation, by: Mapping[str, str] | None = None) -> Relation:
+        return self.join(other, by, "full")
+
     def right_join(self, other: Relation, by: Mapping[str, str] | None = None, row_exists: str | None = None) -> Relation:
         return self.join(other, by, "right", row_exists)
 
@@ -226,7 +234,7 @@ class Relation:
         wanted = tuple((c.removeprefix("-"), not c.startswith("-")) for c in by)
         made = [self._sort(c, up, sort) for c, up in wanted]
         if sequence:
-            df = self.df.withColumn(sequence, F.row_number().over(W.orderBy(*made)))
+            df = numbered(self.df, made, sequence)
             return Relation(df, _least([*self.keys, Key([sequence])]), ((sequence, True),))
         return replace(self, df=self.df.orderBy(*made), ordering=wanted)
 
@@ -269,24 +277,25 @@ class Relation:
         whose by[1] equals its by[0]. A row comes once for every path; `level`
         counts from 1, `sequence` is the preorder. Deeper than `most` is an error.
 
-        One join a level over the frontier; paths of sibling keys give the order.
+        One join a level over the frontier, each written once; paths of sibling
+        keys give the order.
         """
         parent, child = by
         keys = list(order) or [parent]
         sibling = F.struct(*keys, *(c for c in self.columns if c not in keys))
         rows = self.df.select("*", sibling.alias("__key"))
-        front = rows.where(root).select("*", F.lit(1).alias(level), F.array("__key").alias("__path"))
+        front = durable(rows.where(root).select("*", F.lit(1).alias(level), F.array("__key").alias("__path")))
         done = front
         for depth in range(2, most + 2):
             up = front.select(F.col(parent).alias("__parent"), F.col("__path").alias("__above"))
-            front = rows.join(up, F.col(child) == F.col("__parent")).select(
-                *self.columns, "__key", F.lit(depth).alias(level), F.concat("__above", F.array("__key")).alias("__path"))
+            front = durable(rows.join(up, F.col(child) == F.col("__parent")).select(
+                *self.columns, "__key", F.lit(depth).alias(level), F.concat("__above", F.array("__key")).alias("__path")))
             if front.isEmpty():
                 break
             if depth > most:
                 raise RecursionError(f"a path is longer than {most}: is there a cycle?")
             done = done.unionByName(front)
-        df = done.withColumn(sequence, F.row_number().over(W.orderBy("__path"))).drop("__key", "__path")
+        df = numbered(done, [F.col("__path")], sequence).drop("__key", "__path")
         return Relation(df, frozenset([Key([sequence])]), ((sequence, True),))
 
     def copy(self) -> Relation:
