@@ -9,20 +9,23 @@ them, which are compared word by word.
 The benchmark is the query set: it is cut into blocks of bounded size, each
 block is sent to all tasks, and one pass over the documents joins them with it.
 A benchmark within one block, the common case, costs no shuffle at all; more
-blocks are more passes, whose hits are merged by document.
+blocks are more passes over a durable copy whose rows are numbered once. Hits
+are merged by that number, so null and repeated ids are rows of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, table
 
 WINDOW, GRAM = 13, 5
 #: UTF-8 bytes of benchmark text in one block: what a task holds at once.
@@ -237,25 +240,34 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256), a row per input row.
 
-    With more blocks than one, rows of equal doc_id count as one document. Null
-    texts have no words; items without words have no windows; an item without
-    item_id counts under the empty name; repeated items count once.
+    Null texts have no words; items without words have no windows; an item
+    without item_id counts under the empty name; repeated items count once.
     """
-    context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    kind = f"row {rows.schema['row'].dataType.simpleString()}, n_words long, runs array<long>, items array<string>"
-    passes = [rows.mapInArrow(_scan(context.broadcast(Windows(items))), kind) for items in _blocks(benchmark, "item_id", "text")]
-    passes = passes or [rows.mapInArrow(_scan(context.broadcast(Windows([]))), kind)]
-    if len(passes) == 1:
-        merged = passes[0].select(F.col("row").alias("doc_id"), "n_words", F.array("runs").alias("runs"), F.array("items").alias("items"))
+    blocks = _blocks(benchmark, "item_id", "text")
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        merged = _pass(rows, first).select("row", "n_words", F.array("runs").alias("runs"), F.array("items").alias("items"))
     else:
-        every = passes[0]
-        for one in passes[1:]:
-            every = every.unionByName(one)
-        merged = every.groupBy(F.col("row").alias("doc_id")).agg(
-            F.max("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items"))
-    kind = merged.schema["doc_id"].dataType.simpleString()
-    return merged.mapInArrow(_summary, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
+        numbered = durable(rows.withColumn("number", F.monotonically_increasing_id()))
+        merged = (_merged(numbered, chain([first, second], blocks)).withColumnRenamed("row", "number")
+                  .join(numbered.select("number", "row"), "number").select("row", "n_words", "runs", "items"))
+    kind = merged.schema["row"].dataType.simpleString()
+    return merged.withColumnRenamed("row", "doc_id").mapInArrow(_summary, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
+
+
+def _pass(rows: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
+    """(row, n_words, runs, items) of one block of items."""
+    block = rows.sparkSession.sparkContext.broadcast(Windows(items))
+    return rows.mapInArrow(_scan(block), f"row {rows.schema['row'].dataType.simpleString()}, n_words long, runs array<long>, items array<string>")
+
+
+def _merged(numbered: DataFrame, blocks: Iterable[list[tuple[str, bytes]]]) -> DataFrame:
+    """The passes of all blocks, by the number of a row."""
+    rows = numbered.select(F.col("number").alias("row"), "text")
+    every = reduce(DataFrame.unionByName, (_pass(rows, items) for items in blocks))
+    return every.groupBy("row").agg(
+        F.max("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items"))
 
 
 def contaminated() -> Column:
@@ -266,13 +278,17 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with all their columns.
 
     With one block of items the rows are filtered where they are read; with
-    more, the ids of the contaminated ones are joined away.
+    more, they are numbered and the contaminated numbers are joined away.
     """
     blocks = _blocks(benchmark, "item_id", "text")
     first, second = next(blocks, []), next(blocks, None)
     if second is not None:
-        bad = overlaps(docs, benchmark).where(contaminated()).select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
+        numbered = durable(docs.withColumn("__number", F.monotonically_increasing_id()))
+        rows = numbered.select(F.col("__number").alias("number"), F.col("text").cast("string").cast("binary").alias("text"))
+        found = (_merged(rows, chain([first, second], blocks)).withColumnRenamed("row", "doc_id")
+                 .mapInArrow(_summary, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"))
+        bad = found.where(contaminated()).select(F.col("doc_id").alias("__number"))
+        return numbered.join(bad, "__number", "left_anti").select(docs.columns)
     block = docs.sparkSession.sparkContext.broadcast(Windows(first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
