@@ -29,8 +29,9 @@ SLICE_DIGITS = 3
 WEIGHTS, TILTS = (5, 2, 1), (0.5, 0.0, -0.5)
 
 
-def _sizes(docs: DataFrame) -> DataFrame:
+def _sizes(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return docs.select(
+        *keep,
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.size(words(F.col("text").cast("string"), SPACE)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
@@ -71,16 +72,17 @@ def _position(start: Column) -> Column:
     return 2 * share / (1 + tilt + root)
 
 
-def curriculum(docs: DataFrame, budget: float = 1.5, max_repeats: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+def curriculum(docs: DataFrame, budget: float = 1.5, max_repeats: int = 2, weights: tuple[int, ...] = WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: size, its source's size and target, the words
     taken, and `copies` (pass, words, position) with one entry per pass.
 
     The last copy that a source takes may be a part of its document. Sources
     are in code point order, null last as a source of its own. Documents
     without words, null texts included, take nothing and have no copies. Equal
-    doc_ids take turns as different documents. Further columns are ignored.
+    doc_ids take turns as different documents. Further columns are ignored but
+    for those in `keep`.
     """
-    sized = durable(_sizes(docs).withColumn("slice", F.substring("h", 1, SLICE_DIGITS)))
+    sized = durable(_sizes(docs, keep).withColumn("slice", F.substring("h", 1, SLICE_DIGITS)))
     slices = durable(sized.groupBy("source", "slice").agg(F.sum("size").alias("n")))
     sources = targets(slices.groupBy("source").agg(F.sum("n").alias("source_size")), budget, max_repeats, weights)
     # At most 4096 slices of a source in a window.
@@ -88,7 +90,7 @@ def curriculum(docs: DataFrame, budget: float = 1.5, max_repeats: int = 2, weigh
         W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))).drop("n")
     plan = before.join(sources, before["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     placed = sized.withColumn("own", F.sum("size").over(
-        W.partitionBy("source", "slice").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)))
+        W.partitionBy("source", "slice").orderBy("h", "doc_id", "size", *keep).rowsBetween(W.unboundedPreceding, -1)))
     both = placed.join(plan.withColumnsRenamed({"source": "s", "slice": "k"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("k"))).drop("s", "k")
     start = F.coalesce("own", F.lit(0)) + F.coalesce("before", F.lit(0))
     whole = F.floor("target").cast("long")
@@ -100,7 +102,7 @@ def curriculum(docs: DataFrame, budget: float = 1.5, max_repeats: int = 2, weigh
             _position(begin).alias("position"))
 
     copies = F.filter(F.array(*map(copy, range(max_repeats))), lambda c: c["words"] > 0)
-    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn(
+    return both.select(*keep, "doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn(
         "taken", F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c["words"]))
 
 
@@ -109,17 +111,24 @@ def training_order(plan: DataFrame) -> DataFrame:
     return _copies(plan).orderBy("position", "source", "doc_id", "pass")
 
 
-def _copies(plan: DataFrame) -> DataFrame:
-    return plan.select("doc_id", "source", "size", F.explode("copies").alias("c")).select("doc_id", "source", "size", "c.*")
+def _copies(plan: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return plan.select(*keep, "doc_id", "source", "size", F.explode("copies").alias("c")).select(*keep, "doc_id", "source", "size", "c.*")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The documents as often as the curriculum takes them, range-sorted by
     training position. Texts stay whole: the last copy of a source counts if at
-    least half of it is taken. Documents without words go; doc_id must be
-    unique among the rest."""
-    due = _copies(curriculum(docs).where("doc_id is not null")).where("words * 2 >= size").select("doc_id", "pass", "position")
-    return docs.join(due, "doc_id").orderBy("position", "doc_id", "pass").select(docs.columns)
+    least half of it is taken. Documents without words go. Null and repeated
+    doc_ids are documents like any other.
+
+    The plan finds its documents by a hash of all their columns. Rows that are
+    equal in all of them stand for each other: each has its own place in the
+    plan, and one of them is joined to all these places.
+    """
+    key = "__row"
+    keyed = docs.withColumn(key, F.xxhash64(*(x for c in docs.columns for x in (F.col(c).isNull(), F.col(c)))))
+    due = _copies(curriculum(keyed, keep=(key,)), (key,)).where("words * 2 >= size").select(key, "pass", "position")
+    return keyed.dropDuplicates([key]).join(due, key).orderBy("position", "doc_id", key, "pass").select(docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

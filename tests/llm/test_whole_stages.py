@@ -63,3 +63,22 @@ def test_block_count_changes_no_rows(spark, monkeypatch):
         assert len(judged) == len(texts)
         assert kept == sorted(f"Row(doc_id={k}, text={t!r})" for k, t in texts if dirty not in (t or ""))
     assert found[100] == found[1 << 24]
+
+
+def test_mix_takes_null_and_repeated_ids_as_planned(spark):
+    from collections import Counter
+
+    from tessera.llm import mixing
+
+    rows = [(k, f"text {k} " * (3 + k % 5), "en", "abc"[k % 3], 0) for k in range(40)]
+    rows += [(None, f"no id {k} word", "en", "abc"[k % 3], 0) for k in range(9)] + [(None, "no id 0 word", None, "a", 0)]
+    rows += [(3, f"other text {k} under id 3", "en", "abc"[k % 3], 0) for k in range(6)] + [(4, "the same row", "en", "b", 0)] * 3
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.mix(docs).collect())
+    want = Counter()
+    for r in mixing.curriculum(docs).collect():
+        want[r.doc_id, r.source, r["size"]] += sum(c["words"] * 2 >= r["size"] for c in r.copies)
+    assert got == +want and sum(n for (k, *_), n in want.items() if k is None) > 0
+    texts = Counter((r.doc_id, r.text, r.lang) for r in mixing.mix(docs).collect())
+    given = Counter(x[:3] for x in rows)
+    assert all(n <= 2 * given[k] for k, n in texts.items())
