@@ -158,7 +158,7 @@ def pos(part, s):
 
 @scalar
 def index_of(s, part, start=0):
-    return F.locate(part, _c(s), start + 1) - 1 if isinstance(part, str) else F.instr(_c(s), part) - 1
+    return F.position(_c(part), _c(s), _c(start) + 1) - 1
 
 
 @scalar
@@ -210,7 +210,11 @@ def remove(s, at, count):
 
 @scalar
 def replace(s, old, new, ignore_case: bool = False):
-    return F.regexp_replace(_c(s), F.lit("(?i)" + r"\Q" + old + r"\E"), F.lit(new)) if ignore_case else F.replace(_c(s), _c(old), _c(new))
+    """All matches; the texts are taken as they are."""
+    if not ignore_case:
+        return F.replace(_c(s), _c(old), _c(new))
+    whole = F.concat(F.lit(r"(?iu)\Q"), F.replace(_c(old), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.regexp_replace(_c(s), whole, F.regexp_replace(_c(new), F.lit(r"([\\$])"), F.lit(r"\\$1")))
 
 
 @scalar

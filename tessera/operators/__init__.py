@@ -1,6 +1,6 @@
-"""Registered queries: one for each operator, with the SQL that says the same."""
+"""Registered queries, with the SQL that says the same."""
 
-from . import families
+from . import coverage, families
 from .queries import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "families"]
+__all__ = ["ORACLE_SQL", "QUERIES", "coverage", "families"]

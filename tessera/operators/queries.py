@@ -16,16 +16,17 @@ from ..sources import key_violations, literal, upsert, violations
 KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "supplier": ["s_suppkey"], "customer": ["c_custkey"], "part": ["p_partkey"],
     "orders": ["o_orderkey"], "events": ["event_id"], "benchmark": ["item_id"], "conversations": ["conv_id", "turn"],
+    "documents": ["doc_id"], "labels": ["doc_id"], "pages": ["page_id"], "embeddings": ["vec_id"],
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def rel(spark: SparkSession, sf_dir: str, name: str) -> Relation:
-    """A driver table. lineitem has no key that holds: its rows are numbered by
-    no column, so it is read as the bag it is and made a set where needed."""
+    """A driver table. lineitem has no key that holds: it is read as the bag it
+    is and made a set where needed."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return Relation(df, frozenset([frozenset(KEYS.get(name, df.columns))]))
+    return Relation.of(df, KEYS[name]) if name in KEYS else Relation.bag(df)
 
 
 def query(oracle: str | None = None):
@@ -175,7 +176,7 @@ def group(t):
         ["o_custkey"], n=A.count(), kinds=A.count("o_orderstatus", distinct=True), total=money("o_totalprice"), all_big=A.every("big"), any_huge=A.some("huge"))
 
 
-@query("SELECT count(*)::INT AS n, sum(p_size)::BIGINT AS size, max(p_retailprice) AS top FROM part WHERE p_size < 0")
+@query("SELECT count(*)::INT AS n, sum(p_size)::INT AS size, max(p_retailprice) AS top FROM part WHERE p_size < 0")
 def group_without_by(t):
     return t("part").where("p_size < 0").group(n=A.count(), size=A.total("p_size"), top=A.greatest("p_retailprice"))
 
@@ -185,7 +186,7 @@ def concat_aggregate(t):
     return t("nation").group(["n_regionkey"], names=A.concat("n_name", ", "))
 
 
-@query("SELECT p_brand, sum(DISTINCT p_size)::BIGINT AS sizes, round(avg(p_size::DECIMAL(28,10)), 6)::DOUBLE AS mean FROM part GROUP BY p_brand")
+@query("SELECT p_brand, sum(DISTINCT p_size)::INT AS sizes, round(avg(p_size::DECIMAL(28,10)), 6)::DOUBLE AS mean FROM part GROUP BY p_brand")
 def distinct_sum_average(t):
     return t("part").group(["p_brand"], sizes=A.total("p_size", distinct=True), mean=F.round(A.average("p_size"), 6).cast("double"))
 

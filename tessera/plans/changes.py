@@ -16,8 +16,10 @@ from .relation import Relation, _column
 
 
 def insert(target: Relation, rows: Relation) -> Relation:
-    """The target with new rows; columns that the rows lack are nil."""
-    return Relation(target.df.unionByName(rows.df, allowMissingColumns=True).select(target.columns), target.keys)
+    """The target with new rows; columns that the rows lack are nil. A row that
+    is there already stays one row."""
+    both = target.df.unionByName(rows.df, allowMissingColumns=True).select(target.columns)
+    return Relation(both.distinct(), target.keys or frozenset([frozenset(target.columns)]))
 
 
 def delete(target: Relation, condition: Column | str) -> Relation:

@@ -30,6 +30,20 @@ def _least(keys: Iterable[Key]) -> frozenset[Key]:
     return frozenset(k for k in keys if not any(o < k for o in keys))
 
 
+#: Kinds of numbers and of times, each convertible to those behind it.
+PATHS = (("smallint", "int", "bigint", "decimal(28,8)", "decimal(28,10)", "double"), ("date", "timestamp_ntz", "timestamp"))
+
+
+def common_type(a: str, b: str) -> str:
+    """The type that columns of two sets meet in; without a way from one to the other an error."""
+    if a == b:
+        return a
+    for path in PATHS:
+        if a in path and b in path:
+            return max(a, b, key=path.index)
+    raise ValueError(f"no conversion between {a} and {b}")
+
+
 @dataclass(frozen=True)
 class Relation:
     df: DataFrame
@@ -43,6 +57,12 @@ class Relation:
             return cls(df.distinct(), frozenset([Key(df.columns)]))
         return cls(df, _least(Key(k) for k in keys))
 
+    @classmethod
+    def bag(cls, df: DataFrame) -> Relation:
+        """Rows of a source without a key, as they are. No key is known, so every
+        operator but restriction, extension, renaming and grouping makes a set."""
+        return cls(df)
+
     @property
     def columns(self) -> list[str]:
         return self.df.columns
@@ -56,10 +76,14 @@ class Relation:
 
     # Shaping
 
-    def where(self, condition: Column | str, equal: Iterable[str] = ()) -> Relation:
+    def where(self, condition: Column | str | None = None, equal: Iterable[str] = (), **values: object) -> Relation:
         """Rows for which the condition is true; nil counts as false. Columns
-        held equal to one value (`equal`) leave the keys."""
-        return replace(self, df=self.df.where(condition), keys=_least(k - Key(equal) for k in self.keys))
+        held equal to one value (given as name=value, or named by `equal` where
+        the condition says so) leave the keys."""
+        met = self.df if condition is None else self.df.where(condition)
+        for name, value in values.items():
+            met = met.where(F.col(f"`{name}`") == F.lit(value))
+        return replace(self, df=met, keys=_least(k - Key(equal) - Key(values) for k in self.keys))
 
     def over(self, *names: str) -> Relation:
         return self._made(self.df.select(*(F.col(f"`{c}`") for c in names)), [k for k in self.keys if k <= set(names)])
@@ -68,11 +92,14 @@ class Relation:
         return self.over(*[c for c in self.columns if c not in names])
 
     def add(self, **made: Column | str) -> Relation:
-        """New columns, each from the input's columns only."""
+        """New columns, each from the input's columns only. A plain copy of a
+        column can stand for it in the keys."""
         clash = set(made) & set(self.columns)
         if clash:
             raise ValueError(f"columns exist: {sorted(clash)}")
-        return replace(self, df=self.df.select("*", *(_column(e).alias(n) for n, e in made.items())))
+        copies = [(e, n) for n, e in made.items() if isinstance(e, str) and e in self.columns]
+        keys = [k - {old} | {new} for k in self.keys for old, new in copies if old in k]
+        return replace(self, df=self.df.select("*", *(_column(e).alias(n) for n, e in made.items())), keys=frozenset([*self.keys, *keys]))
 
     def specify(self, **made: Column | str) -> Relation:
         """Project, rename and extend at once: name = column name or expression."""
@@ -175,32 +202,70 @@ class Relation:
         return self._semi(other, by, "left_anti")
 
     def divide(self, other: Relation) -> Relation:
-        """The rows over the remaining columns that meet every row of other."""
+        """The rows over the remaining columns that meet every row of other, nil
+        equal to nil: those that meet as many as there are. Each row meets one
+        row of other at most, so this is one join and one count by group."""
         rest = [c for c in self.columns if c not in other.columns]
-        some = self.over(*rest)
-        missing = some.times(other).df.join(self.df, self.columns, "left_anti").select(*rest)
-        return Relation(some.df.join(missing, rest, "left_anti"), some.keys)
+        each = other.over(*[c for c in self.columns if c in other.columns])
+        whole = self if self.keys else Relation.of(self.df)
+        named = each.df.toDF(*(f"__{c}" for c in each.columns)).withColumn("__met", F.lit(1))
+        met = whole.df.join(named, [whole.df[c].eqNullSafe(named[f"__{c}"]) for c in each.columns], "left")
+        counts = met.groupBy(*rest).agg(F.count("__met").alias("__n"))
+        return Relation(counts.where(F.col("__n") == each.df.agg(F.count(F.lit(1))).scalar()).select(*rest), frozenset([Key(rest)]))
 
     # Sets: columns meet by name, nil equals nil
 
+    def _reconciled(self, other: Relation) -> tuple[DataFrame, DataFrame]:
+        """Both sides with other's columns in the order of these, of one type each."""
+        if set(self.columns) != set(other.columns):
+            raise ValueError(f"the sides have different columns: {sorted(set(self.columns) ^ set(other.columns))}")
+        left, right = dict(self.df.dtypes), dict(other.df.dtypes)
+        kinds = {c: common_type(left[c], right[c]) for c in self.columns}
+        as_kind = lambda df, own: df.select(*(F.col(f"`{c}`") if own[c] == kinds[c] else F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in self.columns))
+        return as_kind(self.df, left), as_kind(other.df, right)
+
     def union(self, other: Relation) -> Relation:
-        return self._made(self.df.unionByName(other.df), [])
+        left, right = self._reconciled(other)
+        return self._made(left.unionByName(right), [])
 
     def minus(self, other: Relation) -> Relation:
-        return Relation(self.df.subtract(other.df.select(*self.columns)), self.keys)
+        left, right = self._reconciled(other)
+        return Relation(left.subtract(right), self.keys or frozenset([Key(self.columns)]))
 
     def intersect(self, other: Relation) -> Relation:
-        return Relation(self.df.intersect(other.df.select(*self.columns)), _least([*self.keys, *other.keys]))
+        left, right = self._reconciled(other)
+        return Relation(left.intersect(right), _least([*self.keys, *other.keys]) or frozenset([Key(self.columns)]))
+
+    def within(self, other: Relation) -> Column:
+        """Whether every row is one of other's, as a column for use in a plan."""
+        return ~self.minus(other).df.exists()
+
+    def comparison(self, other: Relation) -> DataFrame:
+        """One row with every comparison of the two sets, as a plan."""
+        a, b = self.within(other), other.within(self)
+        flags = self.df.sparkSession.range(1).select(a.alias("a"), b.alias("b"))
+        return flags.selectExpr(
+            "a and b as equal", "not (a and b) as different", "a as subset", "a and not b as proper_subset", "b as superset",
+            "b and not a as proper_superset", "case when a and b then 0 when a then -1 when b then 1 end as compared")
 
     def subset_of(self, other: Relation) -> bool:
         return self.minus(other).df.isEmpty()
 
+    def superset_of(self, other: Relation) -> bool:
+        return other.subset_of(self)
+
     def equals(self, other: Relation) -> bool:
         return self.subset_of(other) and other.subset_of(self)
 
+    def differs(self, other: Relation) -> bool:
+        return not self.equals(other)
+
     def proper_subset_of(self, other: Relation) -> bool:
         return self.subset_of(other) and not other.subset_of(self)
 
+    def proper_superset_of(self, other: Relation) -> bool:
+        return other.proper_subset_of(self)
+
     def compare(self, other: Relation) -> int:
         """0 if equal, -1 within, 1 otherwise around; unrelated sets raise."""
         within, around = self.subset_of(other), other.subset_of(self)
@@ -208,6 +273,23 @@ class Relation:
             raise ValueError("neither set contains the other")
         return 0 if within and around else -1 if within else 1
 
+    def member(self, name: str, other: Relation, by: Mapping[str, str]) -> Relation:
+        """A new column: whether the row's columns are a row of other's.
+
+        With one column the rule of scalars holds: nil is in no set for sure, nor
+        is a value in a set with a nil, but for a match. More columns are rows,
+        where nil equals nil.
+        """
+        hit = other.over(*by.values()).df.toDF(*(f"__{b}" for b in by.values())).withColumn("__hit", F.lit(True))
+        alike = (lambda a, b: self.df[a] == hit[f"__{b}"]) if len(by) == 1 else (lambda a, b: self.df[a].eqNullSafe(hit[f"__{b}"]))
+        met = self.df.join(hit, [alike(a, b) for a, b in by.items()], "left")
+        found = F.coalesce("__hit", F.lit(False))
+        if len(by) == 1:
+            (a, b), = by.items()
+            unsure = (self.df[a].isNull() & other.df.exists()) | other.df.where(F.col(f"`{b}`").isNull()).exists()
+            found = F.when(F.col("__hit"), True).when(~unsure, False)
+        return Relation(met.select(*(self.df[c] for c in self.columns), found.alias(name)), self.keys)
+
     def exists(self) -> bool:
         return not self.df.isEmpty()
 
@@ -218,13 +300,34 @@ class Relation:
             raise ValueError("the relation has more than one row")
         return rows[0].asDict() if rows else None
 
+    def value(self, name: str) -> Column:
+        """A column of the only row, for use in another plan; none gives nil."""
+        return self.df.select(F.col(f"`{name}`")).scalar()
+
     # Groups
 
-    def group(self, by: Iterable[str] = (), **made: Column) -> Relation:
-        """Aggregates by columns, nil equal to nil; without `by` one row always."""
+    def group(self, by: Iterable[str] = (), **made: Column | Callable[[DataFrame], Column]) -> Relation:
+        """Aggregates by columns, nil equal to nil; without `by` one row always.
+        An aggregate may be a function of the frame, where it needs its types."""
         by = list(by)
-        df = self.df.groupBy(*by).agg(*(e.alias(n) for n, e in made.items())) if made else self.df.select(*by).distinct()
-        return Relation(df, frozenset([Key(by)]))
+        if not made:
+            return Relation(self.df.select(*by).distinct(), frozenset([Key(by)]))
+        built = [(e if isinstance(e, Column) else e(self.df)).alias(n) for n, e in made.items()]
+        return Relation(self.df.groupBy(*by).agg(*built), frozenset([Key(by)]))
+
+    def aggregate(self, by: Iterable[str], name: str, of: Iterable[str], start: Column, step: Callable[[Column, Column], Column],
+                  merge: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None, parts: int = 32) -> Relation:
+        """A user's aggregate of one or more columns, given to `step` as a row.
+
+        Groups are cut in parts by a hash of the rows, stepped through apart and
+        merged, so no task holds more than one part of a group. `merge` must not
+        depend on an order.
+        """
+        by, row = list(by), F.struct(*of)
+        cut = self.df.withColumn("__part", F.pmod(F.xxhash64(*self.columns), F.lit(parts)))
+        states = cut.groupBy(*by, "__part").agg(F.aggregate(F.collect_list(row), start, step).alias("__state"))
+        merged = F.aggregate(F.collect_list("__state"), start, merge, finish)
+        return Relation(states.groupBy(*by).agg(merged.alias(name)), frozenset([Key(by)]))
 
     # Order
 
@@ -243,18 +346,29 @@ class Relation:
         value = sort(name) if sort else F.col(name)
         return value.asc_nulls_first() if up else value.desc_nulls_last()
 
-    def browse(self, *by: str, after: Mapping[str, object] | None = None, page: int = 100) -> Relation:
-        """One page in the order, starting behind a row: a range filter, a sort
-        and a limit, never a materialised cursor."""
+    def browse(self, *by: str, after: Mapping[str, object] | None = None, before: Mapping[str, object] | None = None, page: int = 100) -> Relation:
+        """One page in the order, behind a row or before it: a range filter, a
+        sort and a limit, never a materialised cursor. Nil is least, so it comes
+        first upwards and last downwards."""
         wanted = [(c.removeprefix("-"), not c.startswith("-")) for c in by]
+        edge, forwards = (after, True) if before is None else (before, False)
         df = self.df
-        if after:
+        if edge:
             past, equal = F.lit(False), F.lit(True)
             for c, up in wanted:
-                past |= equal & ((F.col(c) > F.lit(after[c])) if up else (F.col(c) < F.lit(after[c])))
-                equal &= F.col(c) == F.lit(after[c])
-            df = df.where(past)
-        return Relation(df.orderBy(*(self._sort(c, up) for c, up in wanted)).limit(page), self.keys, tuple(wanted))
+                own, at = F.col(c), edge[c]
+                if up == forwards:
+                    beyond = own.isNotNull() if at is None else own > F.lit(at)
+                else:
+                    beyond = F.lit(False) if at is None else (own < F.lit(at)) | own.isNull()
+                past |= equal & beyond
+                equal &= own.eqNullSafe(F.lit(at))
+            df = df.where(F.coalesce(past, F.lit(False)))
+        sorts = [self._sort(c, up) for c, up in wanted]
+        if not forwards:
+            df = df.orderBy(*(self._sort(c, not up) for c, up in wanted)).limit(page)
+            return Relation(df.orderBy(*sorts), self.keys, tuple(wanted))
+        return Relation(df.orderBy(*sorts).limit(page), self.keys, tuple(wanted))
 
     def quota(self, n: int | None, *by: str) -> Relation:
         """The rows of the first n different order values, all ties included;
@@ -264,7 +378,7 @@ class Relation:
         met with the rows, so no task sorts them all."""
         if n is None:
             return replace(self, df=self.df.limit(0))
-        by = by or tuple(sorted(min(self.keys, key=lambda k: (len(k), sorted(k)))))
+        by = by or tuple(sorted(min(self.keys or [Key(self.columns)], key=lambda k: (len(k), sorted(k)))))
         wanted = [(c.removeprefix("-"), not c.startswith("-")) for c in by]
         values = self.df.select(*(c for c, _ in wanted)).distinct().orderBy(*(self._sort(c, up) for c, up in wanted)).limit(n)
         named = values.toDF(*(f"__{c}" for c, _ in wanted))
@@ -272,30 +386,35 @@ class Relation:
 
     # Hierarchies
 
-    def explode(self, root: Column | str, by: tuple[str, str], order: Iterable[str] = (), level: str = "level", sequence: str = "sequence", most: int = 100) -> Relation:
-        """Depth-first expansion: rows where `root` holds, then for each row those
-        whose by[1] equals its by[0]. A row comes once for every path; `level`
-        counts from 1, `sequence` is the preorder. Deeper than `most` is an error.
-
-        One join a level over the frontier, each written once; paths of sibling
-        keys give the order.
+    def explode(self, root: Column | str, by: tuple[str, str] | Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
+                order: Iterable[str] = (), level: str = "level", sequence: str = "sequence", most: int = 100) -> Relation:
+        """Depth-first expansion: rows where `root` holds, then for each row its
+        children. `by` is a pair of columns, the child's second equal to the
+        parent's first, or a condition made from the parent's and the child's
+        columns. A row comes once for every path; `level` counts from 1,
+        `sequence` is the preorder. Deeper than `most` is an error.
+
+        Rows are numbered once in the order of siblings (by `order`, then all
+        columns), so a path is an array of numbers. One join a level over the
+        frontier, whose last is found when the next is empty.
         """
-        parent, child = by
-        keys = list(order) or [parent]
-        sibling = F.struct(*keys, *(c for c in self.columns if c not in keys))
-        rows = self.df.select("*", sibling.alias("__key"))
-        front = durable(rows.where(root).select("*", F.lit(1).alias(level), F.array("__key").alias("__path")))
+        first = list(order)
+        rows = durable(numbered(self.df, [F.col(f"`{c}`") for c in [*first, *(c for c in self.columns if c not in first)]], "__own"))
+        met = by if callable(by) else lambda parent, child: parent(by[0]) == child(by[1])
+        front = durable(rows.where(root).select("*", F.lit(1).alias(level), F.array("__own").alias("__path")))
         done = front
+        above = {c: f"__above_{c}" for c in [*self.columns, "__path"]}
         for depth in range(2, most + 2):
-            up = front.select(F.col(parent).alias("__parent"), F.col("__path").alias("__above"))
-            front = durable(rows.join(up, F.col(child) == F.col("__parent")).select(
-                *self.columns, "__key", F.lit(depth).alias(level), F.concat("__above", F.array("__key")).alias("__path")))
+            up = front.select(*(F.col(f"`{c}`").alias(a) for c, a in above.items()))
+            condition = met(lambda c: F.col(f"`{above[c]}`"), lambda c: F.col(f"`{c}`"))
+            front = durable(rows.join(up, condition).select(
+                *(F.col(f"`{c}`") for c in self.columns), "__own", F.lit(depth).alias(level), F.concat("__above___path", F.array("__own")).alias("__path")))
             if front.isEmpty():
                 break
             if depth > most:
                 raise RecursionError(f"a path is longer than {most}: is there a cycle?")
             done = done.unionByName(front)
-        df = numbered(done, [F.col("__path")], sequence).drop("__key", "__path")
+        df = numbered(done, [F.col("__path")], sequence).drop("__own", "__path")
         return Relation(df, frozenset([Key([sequence])]), ((sequence, True),))
 
     def copy(self) -> Relation:
