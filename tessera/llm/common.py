@@ -1,4 +1,4 @@
-"""What the operators share: reading tables, durable cuts, global order."""
+"""What the operators share: reading tables, written cuts of lineage, words."""
 
 from __future__ import annotations
 
@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.numbering import durable, numbered, shared_dir
+
+__all__ = ["NOT_ALNUM", "SPACE", "ascii_lower", "durable", "fresh", "met_by_key", "numbered", "partitions", "remove_written", "shared_path", "table", "words", "written"]
+
 #: ASCII white space, and the inside of a character class of what isn't a word.
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -17,28 +21,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
-    Where no session setting names one (tests, one machine) a folder under
-    /tmp is set.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named or "/tmp/tessera-checkpoints")
-    return (named or context.getCheckpointDir()).rstrip("/")
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are written to the shared folder once, so a
-    lost executor costs a read and not a new computation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a compressed Parquet table in the shared folder: like
+    :func:`durable`, with less disk and with columns that can be read alone."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+def remove_written(df: DataFrame) -> None:
+    """Delete a table of :func:`written` that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: A key with one part in so many of all rows is met by broadcast: there are no more than that.
+HOT_SHARE = 1000
+
+
+def met_by_key(rows: DataFrame, few: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Rows with the columns of `few`, where the keys `on` are unique and `count`
+    tells the rows of a key, `total` in all. Keys with one part in HOT_SHARE of
+    them are broadcast, and their rows stay out of the shuffle."""
+    hot = F.col(count) * HOT_SHARE >= total
+    hottest = F.broadcast(few.where(hot))
+    return rows.join(hottest, on).unionByName(
+        rows.join(F.broadcast(few.where(hot).select(*on)), on, "left_anti").join(few.where(~hot), on))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -53,34 +75,3 @@ def words(text: Column, separators: str) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def row_numbers(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """Number all rows from 0 in the given total order, without a single task.
-
-    The rows are range-partitioned and sorted; each partition counts its own,
-    and only one count per partition is added up. The sorted rows are made
-    durable first, since two runs of the range sampling may cut differently.
-    """
-    part, within = "__part", "__within"
-    ranged = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
-    local = F.monotonically_increasing_id()
-    placed = durable(ranged.withColumn(out, local)).withColumns({
-        part: F.shiftrightunsigned(F.col(out), 33), within: F.col(out).bitwiseAND((1 << 33) - 1)})
-    offsets = part_offsets(placed.groupBy(part).agg(F.count(F.lit(1)).alias("__n")), part, "__n", "__before")
-    return (placed.join(F.broadcast(offsets), part).withColumn(out, F.col(within) + F.col("__before"))
-            .drop(part, within, "__before"))
-
-
-def part_offsets(totals: DataFrame, part: str, amount: str, out: str) -> DataFrame:
-    """Running totals before each partition. There is one row for each
-    partition of a shuffle, so the rows are few whatever the data's size."""
-    earlier = totals.select(F.col(part).alias("__p"), F.col(amount).alias("__a"))
-    gathered = earlier.groupBy().agg(F.sort_array(F.collect_list(F.struct("__p", "__a"))).alias("__all"))
-    before = F.aggregate(
-        F.col("__all"),
-        F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<p:bigint,b:bigint>>").alias("rows")),
-        lambda s, x: F.struct(
-            (s["sum"] + x["__a"]).alias("sum"),
-            F.concat(s["rows"], F.array(F.struct(x["__p"].cast("long").alias("p"), s["sum"].alias("b")))).alias("rows")))
-    return gathered.select(F.inline(before["rows"])).select(F.col("p").alias(part), F.col("b").alias(out))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, durable, row_numbers, table, words
+from .common import SPACE, durable, fresh, numbered, table, words
 
 #: Hex digits of a slice of the hash: 4096 slices of each source.
 SLICE_DIGITS = 3
@@ -43,7 +43,7 @@ def targets(sources: DataFrame, budget: float, max_repeats: int, weights: tuple[
     The level at which the open sources share what the capped ones leave rises
     until no more source is capped; a round sends three sums to the driver.
     """
-    ranked = row_numbers(sources, [F.col("source").isNull().asc(), F.col("source").asc()], "rank")
+    ranked = numbered(sources, [F.col("source").isNull().asc(), F.col("source").asc()], "rank", 0)
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("rank") % len(values) + 1).cast("int"))
     ranked = durable(ranked.withColumns({"weight": pick(weights), "cap": F.col("source_size") * max_repeats}))
     total, n = ranked.agg(F.sum("source_size"), F.count(F.lit(1))).first()
@@ -118,17 +118,20 @@ def _copies(plan: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The documents as often as the curriculum takes them, range-sorted by
     training position. Texts stay whole: the last copy of a source counts if at
-    least half of it is taken. Documents without words go. Null and repeated
-    doc_ids are documents like any other.
+    least half of it is taken. Documents without words, null texts included,
+    go. Null and repeated doc_ids are documents like any other, null sources
+    one source, further columns stay as they are, whatever their names, and an
+    empty table gives no rows.
 
     The plan finds its documents by a hash of all their columns. Rows that are
     equal in all of them stand for each other: each has its own place in the
     plan, and one of them is joined to all these places.
     """
-    key = "__row"
-    keyed = docs.withColumn(key, F.xxhash64(*(x for c in docs.columns for x in (F.col(c).isNull(), F.col(c)))))
-    due = _copies(curriculum(keyed, keep=(key,)), (key,)).where("words * 2 >= size").select(key, "pass", "position")
-    return keyed.dropDuplicates([key]).join(due, key).orderBy("position", "doc_id", key, "pass").select(docs.columns)
+    key, turn, at = (fresh(x, docs) for x in ("row", "pass", "position"))
+    keyed = docs.withColumn(key, F.xxhash64(*(x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`")))))
+    plan = curriculum(keyed.select("doc_id", "source", "text", F.col(key).alias("__row")), keep=("__row",))
+    due = _copies(plan, ("__row",)).where("words * 2 >= size").select(F.col("__row").alias(key), F.col("pass").alias(turn), F.col("position").alias(at))
+    return keyed.dropDuplicates([key]).join(due, key).orderBy(at, "doc_id", key, turn).select(docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Sharding by a Feistel permutation of global row numbers.
 
 Rows are numbered in the order of doc_id without a single task
-(:func:`common.row_numbers`). A keyed Feistel network permutes the numbers of
+(:func:`tessera.plans.numbering.numbered`). A keyed Feistel network permutes the numbers of
 the next power of four; numbers beyond the row count walk on along their cycle
 until they fall inside, which keeps it a permutation. The permuted number gives
 shard (remainder) and slot (quotient), so either can be computed from the row
@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_numbers, table
+from .common import numbered as number_rows
+from .common import table
 
 #: Fixed round keys and multiplier: changing them changes every shuffle.
 ROUND_KEYS, MULTIPLIER = (0x243F6A88, 0x13198A2E, 0x03707344, 0x299F31D0), 0x9E3779B1
@@ -54,7 +55,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     """
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    numbered = row_numbers(rows, [F.col(x).asc_nulls_first() for x in ("doc_id", "text_crc32", "size")], "row")
+    numbered = number_rows(rows, [F.col(x).asc_nulls_first() for x in ("doc_id", "text_crc32", "size")], "row", 0)
     n = numbered.count()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

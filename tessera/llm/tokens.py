@@ -7,127 +7,185 @@ on from one total per task. Ids are dictionary-encoded, the other columns
 delta-encoded, and pages are small and indexed, so a reader that wants the
 metadata or a few documents touches only those pages.
 
-BPE pieces never reach across a single space between two other characters, nor
-from a run of letters to the ASCII sign that follows, so each space-led piece
-is cut there, encoded by the tokenizer once and remembered within a bound; the
-ids are those of the whole text.
+Byte-level BPE pieces never reach across a single space between two other
+characters, nor from a word to the ASCII sign that follows. Where the tokenizer
+is of that kind, Arrow splits a batch of texts there and numbers the different
+pieces, each is encoded once, and the ids of the texts are gathered by number;
+they are those of the whole texts. Another tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import part_offsets, partitions, shared_path, table
+from .common import partitions, shared_path, table
 
 END_ID = 0
-#: Pieces of each kind that a worker remembers; beyond this it starts anew.
+#: Pieces that a worker remembers; beyond this it starts anew.
 PIECES = 500_000
-#: Characters of text encoded at a time.
-AT_ONCE = 4_000_000
+#: Bytes of text encoded at a time.
+AT_ONCE = 4 << 20
 #: Row groups and pages of the files.
 LAYOUT = {
     "parquet.block.size": 32 << 20, "parquet.page.size": 256 << 10, "parquet.page.row.count.limit": 2000,
     "parquet.writer.version": "v2", "parquet.enable.dictionary": "true",
     **{f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "n_tokens", "part", "start_in_part")},
 }
-#: Letters, then nothing or what starts with an ASCII sign or digit.
-STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([\x21-\x40\[-`{-~].*)?\Z", re.S)
-UNSAFE, CUT = re.compile(r" (?:\s|\Z)"), re.compile(r"(?<=\S) (?=\S)")
+#: A space that isn't alone before the next character, the spaces that texts
+#: are cut at, the ends of words before an ASCII sign, and the mark put there.
+UNSAFE, CUT = r" (?:[\s\x0b\x1c-\x1f\x{85}\pZ]|\z)", re.compile(r"(?<=\S) (?=\S)")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+WORD_END, MARK = rf"([{LETTERS}])([!-@\[-`{{-~\n])", "\x1f"
+WORD = rf"\A[{LETTERS}]+\z"
+
+
+def cuts_at_spaces(definition: str) -> bool:
+    """Whether pieces may be cut at single spaces and ends of words: byte-level
+    BPE with the usual word pattern, no normalizer, and no added token that is
+    a word or looks at spaces."""
+    made = json.loads(definition)
+    model, pre = made["model"], made.get("pre_tokenizer") or {}
+    plain = model.get("type", "BPE") == "BPE" and not model.get("dropout") and not made.get("normalizer") and not made.get("truncation")
+    usual = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    return plain and usual and not any(
+        re.search(r"\s", x["content"]) or re.fullmatch(rf"[{LETTERS}]+", x["content"]) or x.get("lstrip") or x.get("rstrip") or x.get("single_word")
+        for x in made.get("added_tokens") or ())
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes."""
-
-    def __init__(self, tokenizer: tokenizers.Tokenizer):
-        self.tokenizer, self.model = tokenizer, tokenizer.model
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+    """Ids of whole texts. Pieces met before are numbered, those with a space
+    before them apart from the others; their ids lie one after the other."""
+
+    def __init__(self, definition: str):
+        self.tokenizer, self.cuts = tokenizers.Tokenizer.from_str(definition), cuts_at_spaces(definition)
+        self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        added = [re.escape(x["content"]) for x in json.loads(definition).get("added_tokens") or ()]
+        self.unsafe = "|".join([UNSAFE, MARK, *added])
         #: The printable stand-in that a byte-level vocabulary has for each byte.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.signs = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
-        self.space = self.signs[32]
-        self.raw = [k.to_bytes(4, "little") for k in range(max(tokenizer.get_vocab().values()) + 1)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = [pa.array([], pa.string())] * 2
+        self.number = [np.empty(0, np.int32)] * 2
+        self.ids, self.stops = array("i"), array("i", [0])
 
     @classmethod
     def of(cls, definition: str) -> Encoder:
-        """One per worker process; tasks that follow find it again."""
-        held = getattr(tokenizers, "_tessera_encoder", None)
-        if held is None or held[0] != definition:
-            held = tokenizers._tessera_encoder = (definition, cls(tokenizers.Tokenizer.from_str(definition)))
-        return held[1]
-
-    def _stem(self, stem: str) -> bytes:
-        """A space and letters: one piece before BPE, so the model alone will do."""
-        got = self.stems.get(stem)
-        if got is None:
-            raw = self.space + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.signs))
-            got = self.stems[stem] = b"".join([self.raw[x.id] for x in self.model.tokenize(raw)])
-        return got
-
-    def _learn_later(self, pieces: set[str]) -> None:
-        matched = [(piece, *m.groups()) if (m := STEM.match(piece)) else (piece, None, None) for piece in pieces - self.later.keys()]
-        self._learn(self.first, {rest for _, _, rest in matched if rest}, "")
-        self._learn(self.later, {piece for piece, stem, _ in matched if stem is None}, " ")
-        for piece, stem, rest in matched:
-            if stem:
-                self.later[piece] = self._stem(stem) + self.first[rest] if rest else self._stem(stem)
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = list(pieces - known.keys())
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            for piece, got in zip(part, self.tokenizer.encode_batch([lead + x for x in part], add_special_tokens=False), strict=True):
-                known[piece] = np.array(got.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        for known in (self.first, self.later, self.stems):
-            if len(known) > PIECES:
-                known.clear()
-        split = [CUT.split(t) if UNSAFE.search(t) else t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in split}, "")
-        self._learn_later(set().union(*(p[1:] for p in split)))
-        later = self.later.__getitem__
-        return [self.first[p[0]] + b"".join(map(later, p[1:])) for p in split]
+        """One for each worker process; tasks that follow find it again."""
+        state = sys.modules.setdefault("tessera_worker_state", ModuleType("tessera_worker_state")).__dict__
+        if state.get("definition") != definition:
+            state.update(definition=definition, encoder=cls(definition))
+        return state["encoder"]
+
+    def _numbers(self, pieces: pa.Array, spaced: bool) -> np.ndarray:
+        """The numbers of different pieces; those not met before are encoded."""
+        new = pieces.filter(pc.is_null(pc.index_in(pieces, self.known[spaced])))
+        if len(new):
+            # A space and letters are one piece before BPE, so the model alone will do.
+            words = pc.match_substring_regex(new, WORD) if spaced else pa.array(np.zeros(len(new), bool))
+            words, others = new.filter(words), new.filter(pc.invert(words))
+            ids, stops, tokenize, space = self.ids, self.stops, self.model.tokenize, self.signs[32]
+            for p in words.to_pylist():
+                for x in tokenize(space + (p if p.isascii() else p.encode().decode("latin-1").translate(self.signs))):
+                    ids.append(x.id)
+                stops.append(len(ids))
+            rest = [" " + p if spaced else p for p in others.to_pylist()]
+            for k in range(0, len(rest), 5000):
+                for got in self.tokenizer.encode_batch_fast(rest[k : k + 5000], add_special_tokens=False):
+                    ids.extend(got.ids)
+                    stops.append(len(ids))
+            self.known[spaced] = pa.concat_arrays([self.known[spaced], words, others])
+            self.number[spaced] = np.append(self.number[spaced], np.arange(len(stops) - 1 - len(new), len(stops) - 1, dtype=np.int32))
+        return self.number[spaced][pc.index_in(pieces, self.known[spaced]).to_numpy()]
+
+    def _pieces(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+        """(text, pieces, spaced): pieces in the order of the texts, the number
+        of each piece's text and whether a space stood before it. Texts where a
+        cut at every space or mark would be wrong are apart."""
+        unsafe = pc.match_substring_regex(texts, self.unsafe)
+        marked = pc.replace_substring_regex(texts.filter(pc.invert(unsafe)), WORD_END, rf"\1{MARK}\2")
+        apart = pa.array([CUT.split(x) for x in texts.filter(unsafe).to_pylist()], pa.list_(pa.string()))
+        for flag, lists in ((False, pc.split_pattern(marked, " ")), (True, apart)):
+            if len(lists):
+                text = np.repeat(np.flatnonzero(unsafe.to_numpy(zero_copy_only=False) == flag), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                behind = np.append(False, text[1:] == text[:-1])
+                pieces = lists.flatten()
+                if not flag:
+                    inner = pc.split_pattern(pieces, MARK)
+                    sizes = pc.list_value_length(inner).to_numpy(zero_copy_only=False)
+                    pieces, text, led = inner.flatten(), np.repeat(text, sizes), behind
+                    behind = np.zeros(len(text), bool)
+                    behind[np.cumsum(sizes) - sizes] = led
+                yield text, pieces, behind
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, count): the ids of all texts, and how many each has."""
+        if not self.cuts:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.int32), np.array([*map(len, found)], np.int64)
+        if sum(map(len, self.known)) > PIECES:
+            self._forget()
+        made = []
+        for text, pieces, spaced in self._pieces(texts):
+            coded = pieces.dictionary_encode()
+            index, kinds = coded.indices.to_numpy(), coded.dictionary
+            number = np.zeros(2 * len(kinds), np.int32)
+            index = index + spaced * np.int32(len(kinds))
+            met = np.zeros(len(number), bool)
+            met[index] = True
+            for flag, own in enumerate(np.split(met, 2)):
+                used = np.flatnonzero(own)
+                number[used + flag * len(kinds)] = self._numbers(kinds.take(pa.array(used)), bool(flag))
+            made.append((text, number[index]))
+        text, of = map(np.concatenate, zip(*made, strict=True))
+        if len(made) > 1:
+            order = np.argsort(text, kind="stable")
+            text, of = text[order], of[order]
+        lists = pa.ListArray.from_arrays(pa.array(np.array(self.stops, np.int32)), pa.array(np.array(self.ids, np.int32))).take(pa.array(of))
+        counts = np.diff(lists.offsets.to_numpy())
+        return lists.flatten().to_numpy(), np.bincount(text, counts, len(texts)).astype(np.int64)
 
 
 def _encode(definition: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
-        for batch in batches:
-            texts, low, size = batch.column(1), 0, 0
-            held: list[str] = []
-            for k in range(batch.num_rows):
-                held.append(texts[k].as_py() or "")
-                size += len(held[-1])
-                if size >= AT_ONCE:
-                    yield batch.column(0).slice(low, k + 1 - low), held
-                    low, size, held = k + 1, 0, []
-            if held:
-                yield batch.column(0).slice(low), held
+    def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+        """Rows that are encoded together: AT_ONCE bytes, or one longer text."""
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(size, size[low] + AT_ONCE, "right")) - 1)
+            yield low, high
+            low = high
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = Encoder.of(definition), TaskContext.get().partitionId(), 0
-        for ids, texts in groups(batches):
-            rows = [x + end for x in encoder.encode(texts)]
-            counts = np.array([len(x) // 4 for x in rows], np.int64)
-            stops = np.cumsum(counts)
-            values = np.frombuffer(b"".join(rows), "<u4").view(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(values))
-            yield pa.RecordBatch.from_arrays(
-                [ids, lists, pa.array(counts), pa.array(np.full(len(rows), part, np.int64)), pa.array(start + stops - counts)],
-                names=["doc_id", "ids", "n_tokens", "part", "start_in_part"])
-            start += int(stops[-1])
+        for batch in batches:
+            for low, high in groups(batch.column(1)):
+                ids, counts = encoder.encode(batch.column(1).slice(low, high - low))
+                values, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                stops = np.cumsum(counts)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(values.astype(np.int32, copy=False)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(low, high - low), lists, pa.array(counts), pa.array(np.full(len(counts), part, np.int64)), pa.array(start + stops - counts)],
+                    names=["doc_id", "ids", "n_tokens", "part", "start_in_part"])
+                start += int(stops[-1])
 
     return run
 
@@ -135,8 +193,10 @@ def _encode(definition: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write (doc_id, ids, n_tokens, part, start_in_part) in ascending doc_id.
 
-    Null ids come first, equal ids in the order of their texts. A null or empty
-    text is the end id alone; an empty table writes files without rows.
+    Null ids come first, equal ids in the order of their texts, repeated rows
+    as often as they are given. A null or empty text is the end id alone; an
+    empty table writes files without rows. Other columns are ignored. The
+    folder must not exist.
     """
     with open(tokenizer_file, encoding="utf-8") as f:
         definition = f.read()
@@ -147,11 +207,27 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     encoded.write.mode("error").options(**LAYOUT).parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids) of the files, `start` counting all ids before."""
+def _placed(spark: SparkSession, path: str, where: Column | str | None) -> DataFrame:
     files = spark.read.parquet(path)
-    before = part_offsets(files.groupBy("part").agg(F.sum("n_tokens").alias("n")), "part", "n", "before")
-    return files.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "ids")
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    # One row for each file that was written, whatever the data's size.
+    before = F.broadcast(totals.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before")))
+    kept = files if where is None else files.where(where)
+    return kept.join(before, "part").withColumn("start", F.col("before") + F.col("start_in_part"))
+
+
+def read_tokens(spark: SparkSession, path: str, where: Column | str | None = None) -> DataFrame:
+    """(doc_id, start, ids) of the files, `start` counting all ids before.
+
+    A condition on doc_id or n_tokens is pushed to the scan, where row groups
+    and, by their index, pages that can't meet it are skipped.
+    """
+    return _placed(spark, path, where).select("doc_id", "start", "ids")
+
+
+def read_metadata(spark: SparkSession, path: str, where: Column | str | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens) without touching the ids."""
+    return _placed(spark, path, where).select("doc_id", "start", "n_tokens")
 
 
 def digests(tokens: DataFrame) -> DataFrame:
