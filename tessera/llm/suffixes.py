@@ -3,16 +3,20 @@
 A string of `length` bytes is a window. All windows of a text are dealt to
 anchors: of the grams inside a window the one of least hash is its anchor, so
 equal windows have equal anchors, and windows in a row that share one anchor
-form a span. Only anchors that come twice can hold a repeat. Equal spans are
-collapsed before anything meets: a span found at two places is a repeat
-whole, and what remains of an anchor are its different spans. Their bytes are
-fetched once and laid one after the other in the order of the corpus; suffixes are
-sorted, and the previous and next smaller positions in suffix order tell for
-each window whether an earlier one is equal (its longest previous factor has
-`length` bytes or more).
-
-An anchor with more than BUCKET_SPANS different spans is too much for one
-task; its windows are met by grouped minima and maxima of their digests instead.
+form a span. Only anchors that come twice can hold a repeat. Of equal spans
+(by anchor hash and digest) the first and the last in the order of the corpus
+stand for all.
+
+The bytes of an anchor's spans are laid one after the other in that order and
+their suffixes are sorted. The nearest smaller positions on either side in
+suffix order are where a window's longest previous factor starts, the nearest
+larger ones where its longest next factor does: a window whose previous factor
+has `length` bytes or more is a later copy, one whose next factor has is an
+earlier copy. To keep first copies, later ones go; else both go.
+
+An anchor with more spans than one task should hold is dealt to parts. Every
+part is solved alike; windows that are the first of their kind in a part of
+several then meet once more by digest, one for each part.
 """
 
 from __future__ import annotations
@@ -22,16 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import met_by_key, partitions, remove_written, table, written
 
 LENGTH, GRAM = 200, 32
 #: Window starts of a text that are looked at together.
 CHUNK = 1 << 20
-#: Different spans of an anchor in one suffix sort; bytes sorted at a time.
-BUCKET_SPANS, SORTED_BYTES = 40_000, 4 << 20
+#: Spans of an anchor in one part; bytes of spans sorted at a time.
+PART_SPANS, SORTED_BYTES = 2048, 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POSITION = np.uint64((1 << 22) - 1)
@@ -39,10 +44,34 @@ _POSITION = np.uint64((1 << 22) - 1)
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     steps = np.full(n, base, np.uint64)
-    steps[0] = 1
+    steps[:1] = 1
     return np.cumprod(steps, dtype=np.uint64)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(31)
+    h *= _BASE
+    h ^= h >> np.uint64(29)
+    return h
+
+
+class Rolling:
+    """Hashes of any slices of a byte array from running sums."""
+
+    def __init__(self):
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def sums(self, s: np.ndarray) -> np.ndarray:
+        if len(self.up) <= len(s):
+            self.up, self.down = (_powers(b, len(s) * 5 // 4 + 1) for b in (_BASE, _BACK))
+        total = np.zeros(len(s) + 1, np.uint64)
+        np.cumsum((s + np.uint64(1)) * self.up[: len(s)], out=total[1:])
+        return total
+
+    def slices(self, total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return _mixed((total[ends] - total[starts]) * self.down[starts])
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x) - width + 1
     rows = -(-len(x) // width)
@@ -54,151 +83,185 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-class Anchors:
-    """Spans of texts; holds tables of powers between texts."""
+def text_spans(raw: bytes, length: int, rolling: Rolling) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchor hash, digest, first window start, windows) of all spans, chunk by chunk."""
+    gram = min(GRAM, length // 2)
+    for low in range(0, len(raw) - length + 1, CHUNK):
+        s = np.frombuffer(raw, np.uint8, min(CHUNK + length - 1, len(raw) - low), low)
+        total = rolling.sums(s)
+        grams = _mixed((total[gram:] - total[:-gram]) * rolling.down[: len(s) - gram + 1])
+        # The place, rightmost first, stands in the low bits and breaks ties.
+        ranked = (grams & ~_POSITION) | (_POSITION - np.arange(len(grams), dtype=np.uint64))
+        chosen = _POSITION - (_sliding_min(ranked, length - gram + 1) & _POSITION)
+        first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+        count = np.diff(np.append(first, len(chosen)))
+        yield grams[chosen[first].astype(np.int64)], rolling.slices(total, first, first + count + (length - 1)), first + low, count
 
-    def __init__(self, length: int):
-        self.length, self.gram = length, min(GRAM, max(1, length // 2))
-        self.up = self.down = np.empty(0, np.uint64)
 
-    def spans(self, raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(anchor hash, first window start, windows) of all spans, chunk by chunk."""
-        for low in range(0, len(raw) - self.length + 1, CHUNK):
-            s = np.frombuffer(raw, np.uint8, min(CHUNK + self.length - 1, len(raw) - low), low)
-            if len(self.up) <= len(s):
-                self.up, self.down = (_powers(b, len(s) * 2) for b in (_BASE, _BACK))
-            total = np.zeros(len(s) + 1, np.uint64)
-            np.cumsum((s + np.uint64(1)) * self.up[: len(s)], out=total[1:])
-            grams = (total[self.gram :] - total[: -self.gram]) * self.down[: len(s) - self.gram + 1]
-            grams ^= grams >> np.uint64(31)
-            grams *= _BASE
-            grams ^= grams >> np.uint64(29)
-            # The place, rightmost first, stands in the low bits and breaks ties.
-            ranked = (grams & ~_POSITION) | (_POSITION - np.arange(len(grams), dtype=np.uint64))
-            chosen = _POSITION - (_sliding_min(ranked, self.length - self.gram + 1) & _POSITION)
-            first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
-            yield grams[chosen[first].astype(np.int64)], first + low, np.diff(np.append(first, len(chosen)))
-
-
-def _anchors(length: int):
+def _anchors(length: int, kept: int):
+    """Spans of texts; the columns before the text are carried along."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, digest = Anchors(length), xxhash.xxh3_64_intdigest
+        rolling = Rolling()
         for batch in batches:
-            ids, rows, sized = [], [[], [], [], []], 0
-            for k, text in enumerate(batch.column(1)):
-                raw = text.as_py() or b""
-                for code, low, count in anchors.spans(raw):
-                    ends = low + count + (length - 1)
-                    spans = np.fromiter((digest(raw[a:b]) for a, b in zip(low.tolist(), ends.tolist(), strict=True)), np.uint64, len(low))
-                    for column, values in zip(rows, (code.view(np.int64), spans.view(np.int64), low, count), strict=True):
+            rows, columns, sized = [], [[], [], [], []], 0
+            for k, text in enumerate(batch.column(kept)):
+                for found in text_spans(text.as_py(), length, rolling):
+                    for column, values in zip(columns, found, strict=True):
                         column.append(values)
-                    ids.append(np.full(len(low), k))
-                    sized += len(low)
-                if sized > 200_000 or k == batch.num_rows - 1 and ids:
-                    columns = [np.concatenate(c) for c in rows]
+                    rows.append(np.full(len(found[0]), k))
+                    sized += len(found[0])
+                if sized > 200_000 or k == batch.num_rows - 1 and rows:
+                    h, s, low, n = map(np.concatenate, columns)
+                    at = pa.array(np.concatenate(rows))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(np.concatenate(ids))), *map(pa.array, columns[:3]), pa.array(columns[3].astype(np.int32))],
-                        names=["doc_id", "h", "s", "low", "n"])
-                    ids, rows, sized = [], [[], [], [], []], 0
+                        [*(batch.column(c).take(at) for c in range(kept)), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(low), pa.array(n.astype(np.int32))],
+                        names=[*batch.schema.names[:kept], "h", "s", "low", "n"])
+                    rows, columns, sized = [], [[], [], [], []], 0
 
     return run
 
 
-def window_classes(joined: bytes, starts: np.ndarray, length: int) -> np.ndarray:
-    """Equal numbers for windows of equal bytes, in the order of their bytes:
-    ranks of all suffixes by prefix doubling, cut off at `length`."""
-    s = np.frombuffer(joined + bytes(length), np.uint8)
-    n, width = len(joined), min(8, 1 << (length.bit_length() - 1))
-    keys = np.zeros(n, np.uint64)
-    for k in range(width):
-        keys = (keys << np.uint64(8)) | s[k : k + n]
-    rank = np.unique(keys, return_inverse=True)[1]
-    while width < length:
-        step = min(width, length - width)
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = rank[step:] + 1
-        rank = np.unique(rank.astype(np.int64) * (n + 2) + ahead, return_inverse=True)[1]
-        width += step
-    return rank[starts]
-
-
-def nearest_smaller(order: np.ndarray, group: np.ndarray, back: bool) -> np.ndarray:
-    """For each rank of a suffix order the nearest earlier (or later) rank of
-    its group whose position is smaller, else -1; by pointer jumping."""
-    n, step = len(order), -1 if back else 1
+# Suffix order and factors
+
+def suffix_order(text: np.ndarray, starts: np.ndarray, length: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+    """(order, kind): the windows that have one of equal hash, in the order of their
+    suffixes cut off at `length` bytes, equal ones in the order of their places,
+    and a number for each kind of window.
+
+    A window whose rolling hash comes once has no equal one. The others are
+    compared byte by byte with one of their hash, and one of each kind is sorted.
+    """
+    hashes = rolling.slices(rolling.sums(text), starts, starts + length)
+    by = np.argsort(hashes)
+    same = hashes[by[1:]] == hashes[by[:-1]]
+    by = by[np.append(same, False) | np.append(False, same)]
+    if not len(by):
+        return by, by
+    by.sort()
+    head, kind = np.unique(hashes[by], return_index=True, return_inverse=True)[1:]
+    ahead = np.append(text, np.zeros(8, np.uint8))
+    eights = np.lib.stride_tricks.sliding_window_view(ahead, 8)[: len(text)].copy().view(">u8").ravel().astype(np.uint64)
+    steps = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+    mine, first = starts[by], starts[by[head]][kind]
+    odd = np.zeros(len(by), bool)
+    for step in steps:
+        odd |= eights[mine + step] != eights[first + step]
+    if odd.any():  # one hash, other bytes
+        windows = np.lib.stride_tricks.sliding_window_view(text, length)[mine[odd]]
+        kind[odd] = len(head) + np.unique(np.ascontiguousarray(windows).view(f"V{length}").ravel(), return_inverse=True)[1]
+        head, kind = np.unique(kind, return_index=True, return_inverse=True)[1:]
+    rank = _byte_order(eights, starts[by[head]], steps)[kind]
+    order = np.lexsort((by, rank))
+    return by[order], rank[order]
+
+
+def _byte_order(eights: np.ndarray, places: np.ndarray, steps: list[int]) -> np.ndarray:
+    """Ranks of the windows at these places, eight bytes after eight while some are tied."""
+    rank, tied = np.zeros(len(places), np.int64), np.arange(len(places))
+    for step in steps:
+        word = eights[places[tied] + step]
+        order = np.lexsort((word, rank[tied]))
+        tied, word = tied[order], word[order]
+        old, at = rank[tied], np.arange(len(tied))
+        group = np.append(True, old[1:] != old[:-1])
+        run = group | np.append(True, word[1:] != word[:-1])
+        started = np.maximum.accumulate(np.where(run, at, 0))
+        rank[tied] = old + started - np.maximum.accumulate(np.where(group, at, 0))
+        alone = run & np.append(run[1:], True)
+        tied = tied[~alone]
+        if not len(tied):
+            break
+    return rank
+
+
+def nearest_smaller(values: np.ndarray, kind: np.ndarray, back: bool) -> np.ndarray:
+    """For each place of a suffix order the nearest earlier (or later) one of
+    its kind whose value is smaller, else -1; by pointer jumping."""
+    n, step = len(values), -1 if back else 1
     at = np.arange(n) + step
     while True:
         inside = (at >= 0) & (at < n)
-        inside[inside] = group[at[inside]] == group[np.flatnonzero(inside)]
+        inside[inside] = kind[at[inside]] == kind[np.flatnonzero(inside)]
         at[~inside] = -1
         larger = np.flatnonzero(inside)
-        larger = larger[order[at[larger]] > order[larger]]
+        larger = larger[values[at[larger]] >= values[larger]]
         if not len(larger):
             return at
         at[larger] = at[at[larger]]
 
 
-def previous_factors(joined: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(earlier, any): which windows have an equal one before them, or anywhere.
-
-    The longest previous factor of a window reaches `length` if its nearest
-    smaller position on either side in suffix order is a window of its class.
-    """
-    classes = window_classes(joined, starts, length)
-    by = np.argsort(classes, kind="stable")
-    group = classes[by]
-    earlier, anywhere = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    earlier[by] = (nearest_smaller(starts[by], group, True) >= 0) | (nearest_smaller(starts[by], group, False) >= 0)
-    same = group[1:] == group[:-1]
-    anywhere[by] = np.append(same, False) | np.append(False, same)
-    return earlier, anywhere
+def factors(text: np.ndarray, starts: np.ndarray, length: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+    """(previous, next): for which windows the longest previous, and the longest
+    next factor has `length` bytes or more."""
+    order, kind = suffix_order(text, starts, length, rolling)
+    found = np.zeros((2, len(starts)), bool)
+    for row, places in zip(found, (starts[order], -starts[order]), strict=True):
+        row[order] = (nearest_smaller(places, kind, True) >= 0) | (nearest_smaller(places, kind, False) >= 0)
+    return found[0], found[1]
 
 
 def _ranges(mask: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist()
 
 
-def _factor_buckets(length: int, keep_first: bool):
-    def solve(spans: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        sizes = np.array([len(raw) for _, _, raw in spans], np.int64)
-        bases = np.cumsum(sizes) - sizes
-        counts = sizes - length + 1
-        at = np.repeat(bases - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        earlier, anywhere = previous_factors(b"".join(raw for _, _, raw in spans), at, length)
-        mask, stops = earlier if keep_first else anywhere, np.cumsum(counts)
-        rows = [(h, s, _ranges(mask[stop - n : stop])) for (h, s, _), n, stop in zip(spans, counts.tolist(), stops.tolist(), strict=True)]
-        rows = [r for r in rows if r[2]]
-        columns = list(zip(*rows, strict=True)) or [()] * 3
-        return pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32()))], names=["h", "s", "cut"])
+def _solve(length: int, keep_first: bool):
+    """Ranges of windows that go, for spans sorted by anchor, part and place."""
+    rolling = Rolling()
+
+    def solve(spans: list[tuple]) -> pa.RecordBatch:
+        sizes = np.array([len(raw) for *_, raw in spans], np.int64)
+        bases, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+        starts = np.repeat(bases - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        earlier, later = factors(np.frombuffer(b"".join(raw for *_, raw in spans), np.uint8), starts, length, rolling)
+        gone, stops, rows = earlier if keep_first else earlier | later, np.cumsum(counts), []
+        for (h, s, last, parts, raw), n, stop in zip(spans, counts.tolist(), stops.tolist(), strict=True):
+            cut = _ranges(gone[stop - n : stop])
+            lone = np.flatnonzero(~earlier[stop - n : stop]).tolist() if parts > 1 else []
+            if cut or lone:
+                rows.append((h, s, last, cut, [{"k": k, "digest": xxhash.xxh3_128_digest(raw[k : k + length])} for k in lone]))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.struct([("k", pa.int32()), ("digest", pa.binary())])))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "s", "last", "cut", "open"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, group, seen = [], 0, None, None
         for batch in batches:
-            for h, bucket in zip(batch.column("h"), batch.column("bucket"), strict=True):
-                code, seen = h.as_py(), set()
-                for x in sorted(bucket.as_py(), key=lambda x: (x["doc_id"] is not None, x["doc_id"] or 0, x["low"], x["s"])):
-                    if x["s"] not in seen:
-                        seen.add(x["s"])
-                        held.append((code, x["s"], x["raw"]))
-                        size += len(x["raw"])
-                if size >= SORTED_BYTES:
-                    yield solve(held)
-                    held, size = [], 0
+            names = ("h", "part", "s", "last", "parts", "row", "low", "raw")
+            for h, part, s, last, parts, row, low, raw in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (h, part) != group:
+                    group = h, part
+                    if size >= SORTED_BYTES:
+                        yield solve(held)
+                        held, size = [], 0
+                if (h, part, s, last, row, low) != seen:  # rows equal in all give one span again
+                    seen = h, part, s, last, row, low
+                    held.append((h, s, last, parts, raw))
+                    size += len(raw)
         if held:
             yield solve(held)
 
     return run
 
 
+# Texts on their way
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, texts, is compressed before it is shuffled."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        *others, texts = batch.columns
+        yield pa.RecordBatch.from_arrays([*others, pa.array([pack(x.as_py()) for x in texts], pa.binary())], names=[*batch.schema.names[:-1], "packed"])
+
+
 def _cut_spans(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows, size = [], 0
-            for doc_id, text, wanted in zip(batch.column("doc_id"), batch.column("text"), batch.column("wanted"), strict=True):
-                raw, name = text.as_py() or b"", doc_id.as_py()
+            for row, packed, wanted in zip(batch.column("row").to_pylist(), batch.column("packed"), batch.column("wanted"), strict=True):
+                raw = unpack(packed.as_py())
                 for x in wanted.as_py():
-                    rows.append((x["h"], x["s"], name, x["low"], x["many"], raw[x["low"] : x["low"] + x["n"] + length - 1]))
+                    rows.append((*(x[c] for c in ("h", "part", "parts", "s", "last", "order")), row, x["low"], raw[x["low"] : x["low"] + x["n"] + length - 1]))
                     size += x["n"] + length
                 if size > SORTED_BYTES:
                     yield _spans_batch(rows)
@@ -208,63 +271,69 @@ def _cut_spans(length: int):
     return run
 
 
-def _spans_batch(rows: list) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 6
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "s", "doc_id", "low", "many", "raw"])
+_SPAN = "h long, part int, parts int, s long, last boolean, order long, row long, low long, raw binary"
 
 
-def _each_window(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, s, doc_id, low, raw in zip(*(batch.column(c).to_pylist() for c in ("h", "s", "doc_id", "low", "raw")), strict=True):
-                n = len(raw) - length + 1
-                keys = [xxhash.xxh3_128_digest(raw[k : k + length]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array([h] * n, pa.int64()), pa.array([s] * n, pa.int64()), pa.array(range(n), pa.int32()),
-                     pa.array([doc_id] * n, pa.int64()), pa.array([low + k for k in range(n)], pa.int64())], names=["key", "h", "s", "k", "doc_id", "low"])
-
-    return run
+def _spans_batch(rows: list) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 9
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _SPAN.split(", ")])
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> DataFrame:
-    """(doc_id, cuts): for each document with repeats its removed byte ranges.
+    """(row, cuts): for each row with repeats its removed byte ranges.
 
-    With keep_first the first copy in the order of doc_id and place stays, else
-    all copies go. `docs` has doc_id and text (binary).
+    `docs` has row (a key of documents), order (what the first copy is the
+    first by) and text (binary, not null).
     """
-    found = docs.mapInArrow(_anchors(length), "doc_id long, h long, s long, low long, n int")
-    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    found = durable(found.join(shared, "h", "left_semi"))
-    spot = F.struct("doc_id", "low")
-    spans = durable(found.groupBy("h", "s").agg(F.min(spot).alias("first"), F.max(spot).alias("last"), F.min("n").alias("n"))
-                    .select("h", "s", "n", "first", F.expr("not (first <=> last)").alias("twice")))
-    mixed = spans.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    wanted = (spans.join(mixed, "h")
-              .select("first.doc_id", F.struct("h", "s", "first.low", "n", (F.col("c") > BUCKET_SPANS).alias("many")).alias("x"))
-              .groupBy("doc_id").agg(F.collect_list("x").alias("wanted")))
-    cut = durable(docs.join(wanted.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "text", "wanted")
-                  .mapInArrow(_cut_spans(length), "h long, s long, doc_id long, low long, many boolean, raw binary"))
-    small = (cut.where("not many").groupBy("h").agg(F.collect_list(F.struct("s", "doc_id", "low", "raw")).alias("bucket"))
-             .mapInArrow(_factor_buckets(length, keep_first), "h long, s long, cut array<int>"))
-    windows = cut.where("many").mapInArrow(_each_window(length), "key binary, h long, s long, k int, doc_id long, low long")
-    met = windows.groupBy("key").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("not (a <=> b)")
-    large = windows.join(met, "key")
-    large = (large.where(~F.struct("doc_id", "low").eqNullSafe(F.col("a"))) if keep_first else large).groupBy("h", "s").agg(
-        F.flatten(F.collect_set(F.array("k", F.col("k") + 1))).alias("cut"))
-    solved = spans.join(small.unionByName(large), ["h", "s"], "left").where("twice or cut is not null")
-    whole = F.col("twice") if not keep_first else F.col("twice") & ~F.struct("doc_id", "low").eqNullSafe(F.col("first"))
-    cuts = F.when(whole, F.array(F.lit(0), F.col("n"))).otherwise(F.col("cut"))
-    placed = found.drop("n").join(solved, ["h", "s"]).select("doc_id", "low", cuts.alias("cut")).where("cut is not null")
-    return placed.groupBy("doc_id").agg(F.collect_list(F.struct("low", "cut")).alias("cuts"))
-
-
-def _digest(length: int):
+    if length < 16:
+        raise ValueError("windows have 16 bytes or more")
+    # Without first copies to keep, the order of documents tells nothing.
+    placed = docs.select("row", F.col("order") if keep_first else F.lit(0).cast("long").alias("order"), "text")
+    found = written(placed.mapInArrow(_anchors(length, 2), "row long, order long, h long, s long, low long, n int"), "spans")
+    shared = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+                     .select("h", "c", F.ceil(F.col("c") / PART_SPANS).cast("int").alias("parts")), "anchors")
+    total = shared.agg(F.sum("c")).first()[0] or 0
+    kept = written(met_by_key(found, shared, ["h"], "c", total).drop("c"), "shared")
+    remove_written(found)
+    remove_written(shared)
+
+    spot = F.struct("order", "row", "low")
+    spans = written(kept.groupBy("h", "s").agg(F.min(spot).alias("first"), F.max(spot).alias("final"), F.count(F.lit(1)).alias("c"),
+                                               F.min("n").alias("n"), F.min("parts").alias("parts")), "kinds")
+    part = F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("part")
+    one = lambda at, last: F.struct(F.col(f"{at}.order"), F.col(f"{at}.row"), F.col(f"{at}.low"), F.lit(last).alias("last"))
+    wanted = (spans.select("h", "s", "n", "parts", part, F.explode(F.when(F.col("c") > 1, F.array(one("first", False), one("final", True)))
+                                                                   .otherwise(F.array(one("first", False)))).alias("x"))
+              .groupBy(F.col("x.row").alias("row"))
+              .agg(F.collect_list(F.struct("h", "s", "n", "parts", "part", "x.order", "x.low", "x.last")).alias("wanted")))
+    cut = docs.select("row", "text").mapInArrow(_packed, "row long, packed binary").join(wanted, "row").mapInArrow(_cut_spans(length), _SPAN)
+    dealt = cut.repartition(partitions(docs.sparkSession), "h", "part").sortWithinPartitions("h", "part", "order", "row", "low", "last", "s")
+    solved = written(dealt.mapInArrow(_solve(length, keep_first), "h long, s long, last boolean, cut array<int>, open array<struct<k:int,digest:binary>>"), "cuts")
+
+    # Firsts of the parts of one anchor: one window of a kind from each part.
+    lone = (solved.where("size(open) > 0").select("h", "s", "last", F.explode("open").alias("x"))
+            .join(spans.select("h", "s", "first", "final"), ["h", "s"])
+            .select("h", "s", "last", "x.k", "x.digest", F.expr("struct(if(last, final, first) as at, x.k as k)").alias("at")))
+    kinds = lone.groupBy("digest").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    across = lone.join(kinds, "digest").where("at <> least" if keep_first else "true").groupBy("h", "s", "last").agg(
+        F.flatten(F.collect_list(F.array("k", F.col("k") + 1))).alias("cut"))
+    ranges = solved.select("h", "s", "last", "cut").unionByName(across).groupBy("h", "s").agg(
+        *(F.flatten(F.collect_list(F.when(F.col("last") == last, F.col("cut")))).alias(name) for name, last in (("of_first", False), ("of_last", True))))
+    marks = written(spans.join(ranges, ["h", "s"]).select("h", "s", "c", "first", "of_first", "of_last"), "marks")
+    own = F.when(spot.eqNullSafe(F.col("first")), F.col("of_first")).otherwise(F.col("of_last")) if keep_first else F.col("of_first")
+    met = met_by_key(kept.drop("parts"), marks, ["h", "s"], "c", total)
+    return (met.select("row", "low", own.alias("cut")).where("size(cut) > 0")
+            .groupBy("row").agg(F.collect_set(F.struct("low", "cut")).alias("cuts")))
+
+
+def _without_cuts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for text, cuts in zip(batch.column("text"), batch.column("cuts"), strict=True):
-                raw, kept, at, spans, removed = text.as_py() or b"", [], 0, 0, 0
+            for packed, cuts in zip(batch.column("packed"), batch.column("cuts"), strict=True):
+                raw, kept, at, spans, removed = unpack(packed.as_py()), [], 0, 0, 0
                 ranges = sorted((x["low"] + x["cut"][k], x["low"] + x["cut"][k + 1] + length - 1) for x in cuts.as_py() or () for k in range(0, len(x["cut"]), 2))
                 end = -1
                 for a, b in ranges:
@@ -287,14 +356,20 @@ def _digest(length: int):
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes.
 
-    One row per input row. Rows of equal doc_id (or without one) are one
-    document given again and are no repeats of each other. A null text is
-    empty; texts under `length` bytes stay whole. Other columns are ignored.
+    One row per input row, in no order. Rows of equal or missing doc_id but
+    different texts are different documents. Rows equal in id and text are
+    copies of each other, so all their bytes go, but where first copies are
+    kept they can't be told apart and each keeps what one would. Null ids are
+    the first by order. A null text is empty; texts under `length` bytes stay
+    whole; an empty table gives no rows. Other columns are ignored. Rows are
+    told apart by a 64-bit hash of id and text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    cuts = repeats(rows, length, keep_first).withColumnRenamed("doc_id", "d")
-    return (rows.join(cuts, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "cuts")
-            .mapInArrow(_digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
+    rows = rows.withColumns({"row": F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"), "order": F.coalesce("doc_id", F.lit(-(1 << 63)))})
+    cuts = repeats(rows, length, keep_first)
+    packed = rows.select("doc_id", "row", "text").mapInArrow(_packed, "doc_id long, row long, packed binary")
+    return packed.join(cuts, "row", "left").select("doc_id", "packed", "cuts").mapInArrow(
+        _without_cuts(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
