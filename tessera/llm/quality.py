@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, words
+from .common import SPACE, fresh, table, words
 
 #: Frequent words of the corpus languages.
 STOP_WORDS = tuple(
@@ -80,8 +80,8 @@ def _repeat_words(ws: Column) -> Column:
     return F.when(F.size(ws) < 4, F.lit(0).cast("long")).otherwise(_let(grams, covered))
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The given columns and every measure, in columns of a struct `m`."""
+def measured(docs: DataFrame, text_col: str = "text", name: str = "m") -> DataFrame:
+    """The given columns and every measure, in fields of a new struct column."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
@@ -98,18 +98,19 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }
     line_counts = _let(lines, lambda x: F.struct(
         F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    staged = docs.select("*", _let(words(text, SPACE), counts).alias("__w"), line_counts.alias("__l"))
-    fields = [F.col(f"__w.{k}").alias(k) for k in ("n_words", "word_chars", "n_repeat_words", "n_stop")]
-    fields += [F.col(f"__l.{k}").alias(k) for k in ("n_lines", "n_dup_lines")]
+    of_words, of_lines = fresh("of_words", docs), fresh("of_lines", docs)
+    staged = docs.select("*", _let(words(text, SPACE), counts).alias(of_words), line_counts.alias(of_lines))
+    fields = [F.col(of_words)[k].alias(k) for k in ("n_words", "word_chars", "n_repeat_words", "n_stop")]
+    fields += [F.col(of_lines)[k].alias(k) for k in ("n_lines", "n_dup_lines")]
     fields += [c.cast("long").alias(k) for k, c in made.items()]
-    return staged.select("*", F.struct(*fields).alias("m")).drop("__w", "__l")
+    return staged.select("*", F.struct(*fields).alias(name)).drop(of_words, of_lines)
 
 
-def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
-    """All rules as one condition over the struct `m`."""
+def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """All rules as one condition over the measures."""
     kept = F.lit(True)
     for rule in rules:
-        top, base = F.col(f"m.{rule.numerator}"), F.greatest(F.col(f"m.{rule.denominator}"), F.lit(1))
+        top, base = m[rule.numerator], F.greatest(m[rule.denominator], F.lit(1))
         if rule.least is not None:
             kept &= top >= base * F.lit(rule.least)
         if rule.most is not None:
@@ -117,18 +118,26 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     return kept
 
 
-def base_failed() -> Column:
-    return (F.col("m.n_words") < 50) | (F.col("m.n_repeat_words") * 100 > F.col("m.n_words") * 50)
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 50) | (m["n_repeat_words"] * 100 > m["n_words"] * 50)
 
 
 def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The input rows with `m`, `base_failed` and `kept`.
 
-    Row by row, so repeated rows stay repeated. A null text is an empty one: no
-    words, base_failed. Columns of the input keep their names; `m` must be free.
+    Row by row, so repeated rows stay repeated, null ids stay, and an empty
+    table gives no rows. A null text is an empty one: no words, base_failed.
+    Columns of the input keep their names and values: where one has a name
+    that is made here, the new column has underscores before it.
     """
-    return measured(docs, text_col).withColumns({
-        "base_failed": base_failed(), "kept": ~base_failed() & verdict(rules)})
+    m, failed, kept = (fresh(x, docs) for x in ("m", "base_failed", "kept"))
+    found = F.col(m)
+    return measured(docs, text_col, m).select("*", base_failed(found).alias(failed), (~base_failed(found) & verdict(found, rules)).alias(kept))
+
+
+def keep(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The input rows that pass, with their own columns."""
+    return judge(docs, text_col, rules).where(F.col(fresh("kept", docs))).select(docs.columns)
 
 
 OUTPUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -139,5 +148,27 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", *(f"m.{k}" for k in OUTPUT), "base_failed", "kept")
 
 
+def _sql() -> str:
+    limits = [f"{rule.numerator} {sign} greatest({rule.denominator}, 1) * {limit}::DOUBLE"
+              for rule in RULES for sign, limit in ((">=", rule.least), ("<=", rule.most)) if limit is not None]
+    return rf"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
+twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         coalesce(n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(t, '!')) AS n_shout,
+         len(regexp_extract_all(t, '\p{{Lu}}{{2,}}')) AS n_upper,
+         len(list_filter(w, lambda x: list_contains([{', '.join(f"'{w}'" for w in sorted(set(STOP_WORDS)))}], lower(x)))) AS n_stop
+  FROM split LEFT JOIN covered USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(limits)} AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)"""
+
+
 QUERIES = {"op7_quality_rules": op7_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_quality_rules": _sql()}
