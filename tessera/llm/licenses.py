@@ -54,44 +54,44 @@ def template_grams(spark: SparkSession) -> DataFrame:
 
 
 def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, template, label, base, grams, diagonal, held).
+    """(row, doc_id, n_words, template, label, base, grams, diagonal, held).
 
     `held` are the template positions found on the diagonal. Each document has
-    also a row without template.
+    also a row without template. `row` numbers the input rows.
     """
     ws = words(ascii_lower(F.col(text_col).cast("string")), NOT_ALNUM)
-    spoken = docs.select(F.col(id_col).alias("doc_id"), ws.alias("w"))
+    spoken = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), ws.alias("w"))
     # Words as rows: the last has no second word, a text without words one row without position.
-    paired = spoken.select("doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(
+    paired = spoken.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(
         F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))))
     grams = template_grams(docs.sparkSession).withColumn("h", F.xxhash64("t0", "t1"))
     hit = (F.xxhash64("col.a", "col.b") == F.col("h")) & (F.col("col.a") == F.col("t0")) & (F.col("col.b") == F.col("t1"))
     met = paired.join(F.broadcast(grams), hit, "left").where("template is not null or coalesce(pos, 0) = 0")
-    return (met.select("doc_id", "n_words", "template", "label", "base", "grams", F.col("p"), (F.col("pos") - F.col("p")).cast("long").alias("diagonal"))
-            .repartition("doc_id")
-            .groupBy("doc_id", "template", "label", "base", "grams", "diagonal")
+    return (met.select("row", "doc_id", "n_words", "template", "label", "base", "grams", F.col("p"), (F.col("pos") - F.col("p")).cast("long").alias("diagonal"))
+            .repartition("row")
+            .groupBy("row", "doc_id", "template", "label", "base", "grams", "diagonal")
             .agg(F.max("n_words").alias("n_words"), F.collect_set("p").alias("held")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, spans): spans of (template, label, base, start, end, score).
 
-    One row per doc_id: repeated rows are one document. Rows without doc_id are
-    taken together as one; null and empty texts have no words and no spans.
+    One row per input row, whatever its doc_id. Null and empty texts have no
+    words and no spans; an empty table gives no rows; other columns are ignored.
     """
-    gap = F.col("diagonal") - F.lag("diagonal").over(W.partitionBy("doc_id", "template").orderBy("diagonal"))
+    gap = F.col("diagonal") - F.lag("diagonal").over(W.partitionBy("row", "template").orderBy("diagonal"))
     fresh = F.when(F.col("base") | gap.isNull() | (gap > DIAGONAL_GAP), 1).otherwise(0)
-    ordered = W.partitionBy("doc_id", "template").orderBy("diagonal").rowsBetween(W.unboundedPreceding, 0)
+    ordered = W.partitionBy("row", "template").orderBy("diagonal").rowsBetween(W.unboundedPreceding, 0)
     merged = (votes(docs, id_col, text_col).withColumn("fresh", fresh)
               .withColumn("island", F.sum("fresh").over(ordered))
-              .groupBy("doc_id", "template", "label", "base", "grams", "island")
+              .groupBy("row", "doc_id", "template", "label", "base", "grams", "island")
               .agg(F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("got"),
                    F.min(F.col("diagonal") + F.array_min("held")).alias("start"), F.max(F.col("diagonal") + F.array_max("held") + 2).alias("end")))
     share = F.col("got") / F.col("grams")
     verified = F.when(F.col("base"), share == 1).otherwise(
         (share >= LEAST_SHARE) & (F.col("end") - F.col("start") <= (F.col("grams") + 1) * MOST_STRETCH))
     span = F.when(verified, F.struct("template", "label", "base", "start", "end", share.alias("score")))
-    return merged.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_list(span)).alias("spans"))
+    return merged.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_list(span)).alias("spans")).drop("row")
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
