@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .. import sources
+from .. import sources, streaming
 from ..functions import aggregates as A
 from ..functions import rows as R
 from ..functions import user
@@ -421,3 +421,31 @@ def fn_dynamic_type(t):
 def fn_random_ranges(t):
     drawn = t("part").df.select("p_partkey", S["random"](1).alias("r"), S["random_below"](6, 2).alias("n"), S["random_between"](5, 7, 3).alias("m"), S["new_guid"]().alias("g"))
     return drawn.select("p_partkey", F.expr("r >= 0 and r < 1").alias("fraction"), F.expr("n between 0 and 5").alias("below"), F.expr("m between 5 and 7").alias("between_ends"), F.length("g").alias("guid"))
+
+
+# Streams, an extension: the same operators over the events as they come
+
+def event_stream(t):
+    """The events as a stream of files, its rows, and two folders for a sink."""
+    events = t("events").df
+    spark, (file, *_) = events.sparkSession, sorted(events.inputFiles())
+    folder = file.rpartition("/")[0]
+    folder, name = (folder, "*.parquet") if folder.endswith("events.parquet") else (folder, "events.parquet")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", name).option("recursiveFileLookup", "true").parquet(folder)
+    path = own_path(spark, "stream")
+    return stream, f"{path}/rows", f"{path}/state"
+
+
+@query("SELECT event_id, user_id, value * 2 AS twice FROM events WHERE event_type = 'purchase' AND value > 10")
+def ext_stream_restrict(t):
+    stream, path, state = event_stream(t)
+    wanted = Relation.bag(stream).where("event_type = 'purchase' and value > 10").add(twice="value * 2").df.select("event_id", "user_id", "twice")
+    return streaming.drained(wanted, path, state)
+
+
+@query("""SELECT * FROM (SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS window_end, event_type, count(*)::INT AS n
+  FROM events GROUP BY ALL) WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def ext_stream_windows(t):
+    """Windows that the watermark has closed."""
+    stream, path, state = event_stream(t)
+    return streaming.drained(streaming.windowed(stream, "ts", "1 hour", ["event_type"], n=A.count()), path, state)

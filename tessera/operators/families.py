@@ -163,8 +163,8 @@ def ext_rollup(t):
     return t("lineitem").df.rollup("l_returnflag", "l_linestatus").agg(A.count().alias("n"))
 
 
-@query("""WITH marked AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+@query("""WITH marked AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS s FROM marked)
   SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, count(*)::INT AS n FROM numbered GROUP BY user_id, s""")
 def ext_session_window(t):
-    return streaming.sessions(t("events").where("user_id is not null and ts is not null").df, "ts", "30 minutes", ["user_id"], n=A.count())
+    return streaming.sessions(t("events").df, "ts", "30 minutes", ["user_id"], n=A.count())

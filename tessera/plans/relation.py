@@ -8,6 +8,7 @@ key is a select and a distinct. All work is declared to Catalyst.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
@@ -336,6 +337,8 @@ class Relation:
         value to order by. `sequence` names a column of numbers from 1."""
         wanted = tuple((c.removeprefix("-"), not c.startswith("-")) for c in by)
         made = [self._sort(c, up, sort) for c, up in wanted]
+        if sequence and not any(k <= {c for c, _ in wanted} for k in self.keys):
+            warnings.warn(f"no key is within the order {by}: numbers of equal rows may swap", stacklevel=2)
         if sequence:
             df = numbered(self.df, made, sequence)
             return Relation(df, _least([*self.keys, Key([sequence])]), ((sequence, True),))
