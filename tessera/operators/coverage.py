@@ -285,6 +285,23 @@ def xml_round_trip(t):
     return Relation.of(spark.read.schema(schema).format("xml").options(rowTag="nation").load(path), ["n_nationkey"])
 
 
+@query("SELECT n_regionkey, count(*)::INT AS n FROM nation WHERE n_nationkey > 5 GROUP BY n_regionkey")
+def sql_device(t):
+    """Through a database in the driver's memory, with the filter pushed down."""
+    nation = t("nation")
+    spark, url = nation.df.sparkSession, f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    sources.store(nation, url, "nation")
+    return sources.database(spark, url, ["n_nationkey"], table="nation").where("n_nationkey > 5").group(["n_regionkey"], n=A.count())
+
+
+@query("SELECT n_regionkey, max(n_name) AS last_name FROM nation GROUP BY n_regionkey")
+def sql_pass_through(t):
+    nation = t("nation").redefine(n_name=F.substring("n_name", 1, 100))
+    spark, url = nation.df.sparkSession, f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    sources.store(nation, url, "nation", createTableColumnTypes="n_name VARCHAR(100)")
+    return sources.database(spark, url, ["n_regionkey"], query='SELECT "n_regionkey", max("n_name") AS "last_name" FROM nation GROUP BY "n_regionkey"')
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey < 20 THEN 'copied' ELSE c_name END AS c_name, (SELECT count(*) FROM customer WHERE c_custkey < 20)::BIGINT AS copied FROM customer")
 def copy_rows(t):
     spark, people = t("customer").df.sparkSession, t("customer").over("c_custkey", "c_name")

@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import Relation
+from .remote import available_references, available_tables, database, execute, next_generator, store
+
+__all__ = [
+    "available_references", "available_tables", "copy", "create_from", "database", "execute", "files", "key_violations", "listing", "literal", "next_generator",
+    "parquet", "row_violations", "save", "store", "text_file", "transition_violations", "upsert", "view", "violations",
+]
 
 
 def parquet(spark: SparkSession, path: str, *keys: Iterable[str]) -> Relation:
@@ -19,15 +25,6 @@ def files(spark: SparkSession, path: str, kind: str, *keys: Iterable[str], **opt
     return Relation.of(spark.read.format(kind).options(**options).load(path), *keys)
 
 
-def database(spark: SparkSession, url: str, *keys: Iterable[str], table: str | None = None, query: str | None = None, **options) -> Relation:
-    """A table or a pass-through query of a JDBC database; filters, columns and
-    aggregates above it are pushed down by Spark."""
-    if (table is None) == (query is None):
-        raise ValueError("give a table or a query")
-    what = {"dbtable": table} if table else {"query": query}
-    return Relation.of(spark.read.format("jdbc").options(url=url, **what, **options).load(), *keys)
-
-
 def view(spark: SparkSession, name: str, relation: Relation) -> Relation:
     """Named for SQL; the view is its expression, expanded wherever it stands."""
     relation.df.createOrReplaceTempView(name)

@@ -179,6 +179,21 @@ def test_files_and_databases(spark, tmp_path):
         sources.database(spark, "jdbc:none", table="t", query="select 1")
 
 
+def test_databases(spark):
+    url = "jdbc:derby:memory:tessera_test;create=true"
+    t = literal(spark, [(k, f"name {k}") for k in range(20)], "id int, x string", ["id"])
+    sources.store(t, url, "things")
+    far = sources.database(spark, url, ["id"], table="things").where("id > 16").over("id", "x")
+    assert rows(far) == [(k, f"name {k}") for k in (17, 18, 19)]
+    assert "GreaterThan(id,16)" in far.df._jdf.queryExecution().executedPlan().toString()
+    assert rows(sources.database(spark, url, query='SELECT count(*) AS "n" FROM things')) == [(20,)]
+    sources.execute(spark, url, "CREATE TABLE owners (id INT NOT NULL PRIMARY KEY)", "CREATE TABLE pets (id INT, owner INT, CONSTRAINT owned FOREIGN KEY (owner) REFERENCES owners)",
+                    "CREATE TABLE generators (id VARCHAR(40) NOT NULL PRIMARY KEY, next_key INT)")
+    assert {"THINGS", "OWNERS", "PETS"} <= {x.name.upper() for x in sources.available_tables(spark, url, "APP").df.collect()}
+    assert rows(sources.available_references(spark, url, "APP", "PETS")) == [("OWNED", 1, "OWNER", "OWNERS", "ID")]
+    assert [sources.next_generator(spark, url, n, count=c) for n, c in (("a", 1), ("a", 5), ("a", 1), ("b", 1))] == [1, 2, 7, 1]
+
+
 def test_streams_run_and_go_on(spark, tmp_path):
     feed, out, state = (str(tmp_path / x) for x in ("feed", "out", "state"))
     event = "id int, ts timestamp_ntz, kind string"
