@@ -1,35 +1,35 @@
 """Benchmark decontamination by winnowing.
 
 A window is 13 words of a benchmark item, or the whole of a shorter item. Of
-every window the least k-gram hash is kept as its fingerprint; documents are
-winnowed the same way, so a document that holds a window holds its fingerprint
-at the same place in it. Fingerprint hits are extended to the windows around
-them, which are compared word by word.
-
-The benchmark is the query set: it is cut into blocks of bounded size, each
-block is sent to all tasks, and one pass over the documents joins them with it.
-A benchmark within one block, the common case, costs no shuffle at all; more
-blocks are more passes over a durable copy whose rows are numbered once. Hits
-are merged by that number, so null and repeated ids are rows of their own.
+every window the least k-gram hash is its fingerprint, and windows of documents
+are fingerprinted the same way, so a window that a document shares with an
+item has the item's fingerprint, wherever it stands. Hits on fingerprints are
+extended to the window that each stands for, and these windows are joined in
+Spark with those of the benchmark by two hashes of all their words.
+
+What is found depends on the text alone, so it is carried by a hash of the
+text and put beside each input row at the end: null and repeated ids are rows
+like any other, and texts are never shuffled. The fingerprints of the benchmark
+are sent to all tasks PRINTS_AT_ONCE at a time, each in a pass of its own; a
+benchmark of up to some ten million words needs one pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from functools import reduce
-from hashlib import sha256
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import HOT_SHARE, fresh, table, written
 
 WINDOW, GRAM = 13, 5
-#: UTF-8 bytes of benchmark text in one block: what a task holds at once.
-BLOCK_BYTES = 16 << 20
+#: Fingerprints of the benchmark in one broadcast, and texts told bad in one: 8 bytes each.
+PRINTS_AT_ONCE, BAD_AT_ONCE = 2_000_000, 1_000_000
+#: Parts that the rows of a window with one in HOT_SHARE of all candidates are dealt to.
+SALTS = 64
 #: Bytes of text whose words are hashed together.
 SLICE_BYTES = 1 << 20
 _BASE, _MIX, _PLACE = 0x5851F42D4C957F2D, np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 24) - 1)
@@ -90,28 +90,29 @@ class Speech:
         return h, np.searchsorted(bounds, starts, "right") - 1
 
 
-def gram_hashes(h: np.ndarray, width: int) -> np.ndarray:
+def gram_hashes(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """A hash of every run of `width` words."""
     n = len(h) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    return run_hashes(h, np.arange(n), width, seed) if n > 0 else np.empty(0, np.uint64)
+
+
+def run_hashes(h: np.ndarray, starts: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """A hash of the `width` words from each start."""
+    out = np.full(len(starts), seed, np.uint64)
     for k in range(width):
-        out = (out ^ h[k : k + n]) * _MIX
+        out = (out ^ h[starts + k]) * _MIX
         out ^= out >> np.uint64(29)
     return out
 
 
 def winnow(grams: np.ndarray, span: int) -> np.ndarray:
-    """Places of the least (then rightmost) hash of every `span` neighbours."""
+    """For every `span` neighbours the place of the least (then rightmost) hash."""
     n = len(grams) - span + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    if span == 1:
-        return np.arange(n)
     if len(grams) > int(_PLACE):  # places fit the low bits piece by piece; pieces overlap
         step = int(_PLACE) - span
-        return np.unique(np.concatenate([winnow(grams[k : k + step + span - 1], span) + k for k in range(0, n, step)]))
+        return np.concatenate([winnow(grams[k : k + step + span - 1], span) + k for k in range(0, n, step)])
     ranked = (grams & ~_PLACE) | (_PLACE - np.arange(len(grams), dtype=np.uint64))
     rows = -(-len(grams) // span)
     padded = np.full(rows * span, np.iinfo(np.uint64).max, np.uint64)
@@ -119,66 +120,40 @@ def winnow(grams: np.ndarray, span: int) -> np.ndarray:
     blocks = padded.reshape(rows, span)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[:n], ahead[span - 1 : span - 1 + n])
-    chosen = (_PLACE - (least & _PLACE)).astype(np.int64)
-    return chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])]
-
-
-class Windows:
-    """The distinct windows of a block of items, by window length."""
-
-    def __init__(self, items: list[tuple[str, bytes]]):
-        gathered: dict[int, dict[bytes, set[int]]] = {}
-        prints: dict[int, set[int]] = {}
-        self.ids = sorted({i for i, _ in items})
-        place, speech = {i: k for k, i in enumerate(self.ids)}, Speech()
-        for item, raw in items:
-            for _, h, _ in speech.slices(pa.array([raw], pa.binary())):
-                if not len(h):
-                    continue
-                width = min(WINDOW, len(h))
-                for k in range(len(h) - width + 1):
-                    gathered.setdefault(width, {}).setdefault(h[k : k + width].tobytes(), set()).add(place[item])
-                grams = gram_hashes(h, min(GRAM, width))
-                prints.setdefault(width, set()).update(grams[winnow(grams, width - min(GRAM, width) + 1)].tolist())
-        self.kinds = []
-        for width, found in sorted(gathered.items()):
-            texts = np.frombuffer(b"".join(found), np.uint64).reshape(-1, width)
-            hashes = np.array([gram_hashes(t, width)[0] for t in texts], np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            items_of = [np.fromiter(found[t.tobytes()], np.int32) for t in texts[order]]
-            self.kinds.append((width, np.array(sorted(prints[width]), np.uint64), hashes[order], texts[order], items_of))
-
-    def hits(self, h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, dict[int, set[int]]]:
-        """Which words lie in an occurrence of a window, and by text the items
-        whose windows occur. Windows lie within one text."""
-        covered, items = np.zeros(len(h) + 1, np.int64), {}
-        for width, prints, hashes, texts, items_of in self.kinds:
-            if len(h) < width:
-                continue
-            gram = min(GRAM, width)
-            grams = gram_hashes(h, gram)
-            at = winnow(grams, width - gram + 1)
-            met = at[_among(grams[at], prints)]
-            if not len(met):
-                continue
-            # Windows that hold a met fingerprint, then their exact words.
-            starts = np.unique((met[:, None] - np.arange(width - gram + 1)[None, :]).ravel())
-            starts = starts[(starts >= 0) & (starts <= len(h) - width)]
-            starts = starts[owner[starts] == owner[starts + width - 1]]
-            own = h[starts[:, None] + np.arange(width)[None, :]]
-            code = np.zeros(len(starts), np.uint64)
-            for k in range(width):
-                code = (code ^ own[:, k]) * _MIX
-                code ^= code >> np.uint64(29)
-            low, high = np.searchsorted(hashes, code), np.searchsorted(hashes, code, "right")
-            for row in np.flatnonzero(high > low).tolist():
-                for k in range(low[row], high[row]):
-                    if (texts[k] == own[row]).all():
-                        covered[starts[row]] += 1
-                        covered[starts[row] + width] -= 1
-                        items.setdefault(int(owner[starts[row]]), set()).update(items_of[k].tolist())
-        return np.cumsum(covered[:-1]) > 0, items
+    return (_PLACE - (np.minimum(behind[:n], ahead[span - 1 : span - 1 + n]) & _PLACE)).astype(np.int64)
+
+
+def prints_of(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, place): hashes of word runs, and each window's fingerprint among them."""
+    gram = min(GRAM, width)
+    grams = gram_hashes(h, gram)
+    return grams, winnow(grams, width - gram + 1)
+
+
+_CODES = "width int, code long, again long"
+_FOUND = "array<struct<width:int,code:long,again:long,start:long>>"
+
+
+def _codes(h: np.ndarray, starts: np.ndarray, width: int) -> list[pa.Array]:
+    return [pa.array(np.full(len(starts), width, np.int32)), *(pa.array(run_hashes(h, starts, width, seed).view(np.int64)) for seed in (0, 1))]
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    speech = Speech()
+    for batch in batches:
+        at = 0
+        for n, h, owner in speech.slices(batch.column(1)):
+            bounds = np.searchsorted(owner, np.arange(n + 1))
+            for k in range(n):
+                own = h[bounds[k] : bounds[k + 1]]
+                if len(own):
+                    width = min(WINDOW, len(own))
+                    grams, place = prints_of(own, width)
+                    starts = np.arange(len(place))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(np.full(len(place), at + k))), pa.array(grams[place].view(np.int64)), *_codes(own, starts, width)],
+                        names=["item", "print", "width", "code", "again"])
+            at += n
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -186,55 +161,86 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return (k < len(ordered)) & (ordered[np.minimum(k, len(ordered) - 1)] == values)
 
 
-def _runs(hit: np.ndarray) -> list[int]:
-    """Starts and ends, by turns, of the runs of hit words."""
-    return np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist()
-
+def _candidates(prints):
+    """Of each text its words' number and the windows whose fingerprint is one of
+    the benchmark's. `prints` are plain arrays by width, broadcast."""
+    window = pa.struct([("width", pa.int32()), ("code", pa.int64()), ("again", pa.int64()), ("start", pa.int64())])
 
-def _scan(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, speech = block.value, Speech()
+        speech = Speech()
         for batch in batches:
-            sizes, runs, items = [], [], []
-            for n, h, owner in speech.slices(batch.column(1)):
-                hit, found = windows.hits(h, owner)
+            *others, texts = batch.columns
+            sizes, found = [], []
+            for n, h, owner in speech.slices(texts):
                 first = np.searchsorted(owner, np.arange(n + 1))
-                sizes += np.diff(first).tolist()
-                runs += [_runs(hit[first[k] : first[k + 1]]) if k in found else [] for k in range(n)]
-                items += [[windows.ids[x] for x in sorted(found.get(k, ()))] for k in range(n)]
+                sizes.append(np.diff(first))
+                rows = [[] for _ in range(n)]
+                for width, known in prints.value.items():
+                    grams, place = prints_of(h, width)
+                    fresh = np.append(True, place[1:] != place[:-1]) if len(place) else np.empty(0, bool)
+                    met = _among(grams[place[fresh]].view(np.int64), known)[np.cumsum(fresh) - 1]
+                    starts = np.flatnonzero(met)
+                    starts = starts[owner[starts] == owner[starts + width - 1]]
+                    columns = [c.to_pylist() for c in _codes(h, starts, width)]
+                    for own, start, *codes in zip(owner[starts].tolist(), (starts - first[owner[starts]]).tolist(), *columns, strict=True):
+                        rows[own].append((*codes, start))
+                found += rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                names=["row", "n_words", "runs", "items"])
+                [*others, pa.array(np.concatenate([*sizes, np.empty(0, np.int64)]).astype(np.int64)), pa.array(found, pa.list_(window))],
+                names=[*batch.schema.names[:-1], "n_words", "found"])
 
     return run
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hits, counts, digests = [], [], []
-        for many, found in zip(batch.column("runs").to_pylist(), batch.column("items").to_pylist(), strict=True):
-            total, end = 0, 0
-            for a, b in sorted((r[k], r[k + 1]) for r in many for k in range(0, len(r), 2)):
-                total += max(0, b - max(a, end))
-                end = max(end, b)
-            names = sorted({x for part in found for x in part})
-            hits.append(total)
-            counts.append(len(names))
-            digests.append(sha256(",".join(names).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
-    """The items with words in blocks of about BLOCK_BYTES, one on the driver at
-    a time. An item longer than a block is a block of its own."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").cast("binary").alias("t")).where("t is not null")
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    count = -(-size // BLOCK_BYTES)
-    for k in range(count):
-        part = items if count == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k)
-        yield [(r.i, bytes(r.t)) for r in part.collect()]
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
+
+
+def _scanned(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, hits): doc_id, key and n_words of every row; and (key, n_words,
+    width, code, again, start) of windows that may be an item's, by the text's key."""
+    spark = docs.sparkSession
+    prints = windows.select("width", "print").distinct()
+    passes = max(1, -(-prints.count() // PRINTS_AT_ONCE))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(_text(text_col)).alias("key"), _text(text_col).alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    made = []
+    for k in range(passes):
+        part = prints.where(F.pmod(F.xxhash64("print", F.lit("pass")), F.lit(passes)) == k).toArrow()
+        width, values = (part.column(c).to_numpy() for c in ("width", "print"))
+        sent = spark.sparkContext.broadcast({int(w): np.sort(values[width == w]) for w in np.unique(width)})
+        made.append(written(texts.mapInArrow(_candidates(sent), f"doc_id {kind}, key long, n_words long, found {_FOUND}"), "scan"))
+        sent.destroy()
+    every = made[0]
+    for more in made[1:]:
+        every = every.unionByName(more)
+    hits = every.where("size(found) > 0").select("key", "n_words", F.explode("found").alias("x")).select("key", "n_words", "x.*")
+    return made[0].select("doc_id", "key", "n_words"), hits
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, found): rows as above; and for each text with an occurrence of a
+    window (key, n_words, n_hit, items)."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), _text("text").alias("text"))
+    windows = written(items.mapInArrow(_item_windows, f"item string, print long, {_CODES}").distinct(), "windows")
+    rows, near = _scanned(docs, windows, id_col, text_col)
+    on = ["width", "code", "again"]
+    near = written(near.distinct(), "near")
+    # A window that many texts hold is dealt by text, and the benchmark's side repeated for each part.
+    counts = near.groupBy(*on).agg(F.count(F.lit(1)).alias("c"))
+    hot = written(counts.where(F.col("c") * HOT_SHARE >= near.count()).where("c > 1").select(*on, F.lit(SALTS).alias("salts")), "hot")
+    salted = near.join(F.broadcast(hot), on, "left").withColumn("salt", F.pmod(F.xxhash64("key"), F.coalesce("salts", F.lit(1)).cast("long"))).drop("salts")
+    asked = (windows.groupBy(*on).agg(F.collect_set("item").alias("items")).join(F.broadcast(hot), on, "left")
+             .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1))).drop("salts"))
+    span = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("width")).alias("stop"))))
+    begun = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    covered = F.aggregate("spans", begun, lambda s, x: F.struct(
+        (s["n"] + F.greatest(x["stop"] - F.greatest(x["start"], s["end"]), F.lit(0).cast("long"))).alias("n"),
+        F.greatest(s["end"], x["stop"]).alias("end")), lambda s: s["n"])
+    found = (salted.join(asked, [*on, "salt"]).groupBy("key", "n_words")
+             .agg(span.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+             .select("key", "n_words", covered.alias("n_hit"), "items"))
+    return rows, found
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,32 +248,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     Null texts have no words; items without words have no windows; an item
     without item_id counts under the empty name; repeated items count once.
+    Rows of equal or missing doc_id are judged each by its own text. An empty
+    table gives no rows, an empty benchmark rows without hits. Other columns
+    are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    blocks = _blocks(benchmark, "item_id", "text")
-    first, second = next(blocks, []), next(blocks, None)
-    if second is None:
-        merged = _pass(rows, first).select("row", "n_words", F.array("runs").alias("runs"), F.array("items").alias("items"))
-    else:
-        numbered = durable(rows.withColumn("number", F.monotonically_increasing_id()))
-        merged = (_merged(numbered, chain([first, second], blocks)).withColumnRenamed("row", "number")
-                  .join(numbered.select("number", "row"), "number").select("row", "n_words", "runs", "items"))
-    kind = merged.schema["row"].dataType.simpleString()
-    return merged.withColumnRenamed("row", "doc_id").mapInArrow(_summary, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
-
-
-def _pass(rows: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
-    """(row, n_words, runs, items) of one block of items."""
-    block = rows.sparkSession.sparkContext.broadcast(Windows(items))
-    return rows.mapInArrow(_scan(block), f"row {rows.schema['row'].dataType.simpleString()}, n_words long, runs array<long>, items array<string>")
-
-
-def _merged(numbered: DataFrame, blocks: Iterable[list[tuple[str, bytes]]]) -> DataFrame:
-    """The passes of all blocks, by the number of a row."""
-    rows = numbered.select(F.col("number").alias("row"), "text")
-    every = reduce(DataFrame.unionByName, (_pass(rows, items) for items in blocks))
-    return every.groupBy("row").agg(
-        F.max("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items"))
+    rows, found = _hits(docs, benchmark, id_col, text_col)
+    names = F.coalesce(F.array_join("items", ","), F.lit(""))
+    return rows.join(found, ["key", "n_words"], "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"))
 
 
 def contaminated() -> Column:
@@ -275,33 +264,17 @@ def contaminated() -> Column:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns.
+    """The documents that aren't contaminated, with all their columns and as
+    often as they are given; null and repeated ids as in :func:`overlaps`.
 
-    With one block of items the rows are filtered where they are read; with
-    more, they are numbered and the contaminated numbers are joined away.
+    Texts told bad are joined away by their hash. Up to BAD_AT_ONCE of them,
+    which is counted, the documents are filtered where they are read.
     """
-    blocks = _blocks(benchmark, "item_id", "text")
-    first, second = next(blocks, []), next(blocks, None)
-    if second is not None:
-        numbered = durable(docs.withColumn("__number", F.monotonically_increasing_id()))
-        rows = numbered.select(F.col("__number").alias("number"), F.col("text").cast("string").cast("binary").alias("text"))
-        found = (_merged(rows, chain([first, second], blocks)).withColumnRenamed("row", "doc_id")
-                 .mapInArrow(_summary, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"))
-        bad = found.where(contaminated()).select(F.col("doc_id").alias("__number"))
-        return numbered.join(bad, "__number", "left_anti").select(docs.columns)
-    block = docs.sparkSession.sparkContext.broadcast(Windows(first))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, speech = block.value, Speech()
-        for batch in batches:
-            keep = []
-            for n, h, owner in speech.slices(batch.column("text")):
-                hit, _ = windows.hits(h, owner)
-                words, hits = (np.bincount(owner, x, n) for x in (None, hit))
-                keep += ((hits == 0) | (20 * hits < words)).tolist()
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    _, found = _hits(docs.select("doc_id", "text"), benchmark, "doc_id", "text")
+    bad = written(found.where(contaminated()).select("key").distinct(), "bad")
+    key = fresh("key", docs)
+    few, bad = bad.count() <= BAD_AT_ONCE, bad.withColumnRenamed("key", key)
+    return docs.withColumn(key, F.xxhash64(_text("text"))).join(F.broadcast(bad) if few else bad, key, "left_anti").select(docs.columns)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
