@@ -1,18 +1,23 @@
 """License scans by diagonal voting.
 
-Every rolling word 2-gram of every text is joined by hash to the positions of
-that 2-gram in the license templates (the words are compared too, so a hash
-collision cannot vote). A match votes for its diagonal, word position less
-template position. A diagonal that has all of a template's 2-grams is a place of the
-whole phrase; neighbouring diagonals merge into one span, so a dropped or added
-word does not break it, and a span is verified by the share of the template
-that it holds and by its length. DataFrame functions only.
+Every rolling word k-gram of every text is joined by hash to the positions of
+that k-gram in the license templates (the words are compared too, so a hash
+collision cannot vote); k is 4 for license texts and 2 for phrases of a few
+words. A match votes for its diagonal, word position less template position. A
+diagonal that has all of a phrase's k-grams is a place of the whole phrase;
+neighbouring diagonals merge into one span, so a dropped or added word does not
+break it, and a span is verified by the share of the template that it holds and
+by its length. DataFrame functions only.
 
 One row goes from each document to the shuffle, besides the few matches.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,36 +45,85 @@ TEMPLATES = (
     ("cc-by-nd", "licensed under cc by nd 4 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
-#: Share of a template's 2-grams that a span must hold, diagonals that merge
-#: into one, and the most words of a span for a word of its template.
-LEAST_SHARE, DIAGONAL_GAP, MOST_STRETCH = 0.85, 2, 1.5
+#: Bodies of license texts and notices.
+TEXTS = (
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+     (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+     distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+     following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+     Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+     MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+     CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+     SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+     are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+     2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+     documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+     "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+     PARTICULAR PURPOSE ARE DISCLAIMED."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+     the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+     WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+     arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications,
+     and to alter it and redistribute it freely, subject to the following restrictions"""),
+    ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may
+     obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
+     distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See
+     the License for the specific language governing permissions and limitations under the License."""),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+     the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope
+     that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+     the GNU General Public License for more details."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+     distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+)
+#: Words of a k-gram of a license text, and of a phrase of fewer than LONG words.
+TEXT_GRAM, PHRASE_GRAM, LONG = 4, 2, 18
+#: Share of a template's k-grams that a span must hold, by k; diagonals that
+#: merge into one; and the most words of a span for a word of its template.
+LEAST_SHARE, DIAGONAL_GAP, MOST_STRETCH = {TEXT_GRAM: 0.7, PHRASE_GRAM: 0.85}, 2, 1.5
+
+
+def templates() -> list[tuple[int, str, bool, int, list[str]]]:
+    """(template, label, base, k, words) of all fixed values."""
+    named = [(*x, True) for x in BASE] + [(*x, False) for x in TEMPLATES + TEXTS]
+    split = [(label, base, re.sub(NOT_ALNUM, " ", text.lower()).split()) for label, text, base in named]
+    return [(n, label, base, TEXT_GRAM if len(ws) >= LONG else PHRASE_GRAM, ws) for n, (label, base, ws) in enumerate(split)]
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    """(template, label, base, grams, p, t0, t1): bounded by the fixed lists."""
-    rows = [(k, label, base, len(ws) - 1, p, ws[p], ws[p + 1])
-            for k, (label, phrase, base) in enumerate([(*x, True) for x in BASE] + [(*x, False) for x in TEMPLATES])
-            for ws in [phrase.split()] for p in range(len(ws) - 1)]
-    return spark.createDataFrame(rows, "template int, label string, base boolean, grams int, p int, t0 string, t1 string")
+    """(template, label, base, k, grams, p, t, h): bounded by the fixed lists."""
+    rows = [(n, label, base, k, len(ws) - k + 1, p, ws[p : p + k]) for n, label, base, k, ws in templates() for p in range(len(ws) - k + 1)]
+    made = spark.createDataFrame(rows, "template int, label string, base boolean, k int, grams int, p int, t array<string>")
+    return made.withColumn("h", F.xxhash64("t"))
 
 
 def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, n_words, template, label, base, grams, diagonal, held).
+    """(row, doc_id, n_words, template, label, base, k, grams, diagonal, held).
 
     `held` are the template positions found on the diagonal. Each document has
     also a row without template. `row` numbers the input rows.
     """
+    grams = template_grams(docs.sparkSession)
+    sizes = (PHRASE_GRAM, TEXT_GRAM)
+    # The hashes of the fixed lists: some hundred numbers, which the scan filters by before the join.
+    known = {k: [r.h for r in grams.where(F.col("k") == k).select("h").distinct().collect()] for k in sizes}
     ws = words(ascii_lower(F.col(text_col).cast("string")), NOT_ALNUM)
     spoken = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), ws.alias("w"))
-    # Words as rows: the last has no second word, a text without words one row without position.
-    paired = spoken.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(
-        F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))))
-    grams = template_grams(docs.sparkSession).withColumn("h", F.xxhash64("t0", "t1"))
-    hit = (F.xxhash64("col.a", "col.b") == F.col("h")) & (F.col("col.a") == F.col("t0")) & (F.col("col.b") == F.col("t1"))
-    met = paired.join(F.broadcast(grams), hit, "left").where("template is not null or coalesce(pos, 0) = 0")
-    return (met.select("row", "doc_id", "n_words", "template", "label", "base", "grams", F.col("p"), (F.col("pos") - F.col("p")).cast("long").alias("diagonal"))
+    placed = spoken.select("row", "doc_id", "w", F.size("w").cast("long").alias("n_words"), F.posexplode_outer("w").alias("pos", "a"))
+    run = lambda k: F.array(*("a" if i == 0 else F.get("w", F.col("pos") + i) for i in range(k)))
+    inside = lambda k: F.col("pos") + k <= F.col("n_words")
+    hashed = placed.select("*", *(F.when(inside(k), F.xxhash64(run(k))).alias(f"h{k}") for k in sizes))
+    hit = reduce(or_, (F.col(f"h{k}").isin(known[k]) for k in sizes))
+    first = F.coalesce("pos", F.lit(0)) == 0
+    # The first word of a document stays for its own row, whatever it meets.
+    kept = hashed.where(hit | first).select("row", "doc_id", "n_words", "pos", F.explode(F.array(*(
+        F.struct(F.lit(k).alias("own"), F.col(f"h{k}").alias("h"), run(k).alias("t")) for k in sizes))).alias("x")).select("row", "doc_id", "n_words", "pos", "x.*")
+    met = kept.join(F.broadcast(grams), ["h", "t"], "left").where(F.col("template").isNotNull() | (first & (F.col("own") == PHRASE_GRAM)))
+    return (met.select("row", "doc_id", "n_words", "template", "label", "base", "k", "grams", "p", (F.col("pos") - F.col("p")).cast("long").alias("diagonal"))
             .repartition("row")
-            .groupBy("row", "doc_id", "template", "label", "base", "grams", "diagonal")
+            .groupBy("row", "doc_id", "template", "label", "base", "k", "grams", "diagonal")
             .agg(F.max("n_words").alias("n_words"), F.collect_set("p").alias("held")))
 
 
@@ -84,12 +138,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ordered = W.partitionBy("row", "template").orderBy("diagonal").rowsBetween(W.unboundedPreceding, 0)
     merged = (votes(docs, id_col, text_col).withColumn("fresh", fresh)
               .withColumn("island", F.sum("fresh").over(ordered))
-              .groupBy("row", "doc_id", "template", "label", "base", "grams", "island")
+              .groupBy("row", "doc_id", "template", "label", "base", "k", "grams", "island")
               .agg(F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("got"),
-                   F.min(F.col("diagonal") + F.array_min("held")).alias("start"), F.max(F.col("diagonal") + F.array_max("held") + 2).alias("end")))
+                   F.min(F.col("diagonal") + F.array_min("held")).alias("start"), F.max(F.col("diagonal") + F.array_max("held") + F.col("k")).alias("end")))
     share = F.col("got") / F.col("grams")
+    least = F.when(F.col("k") == TEXT_GRAM, LEAST_SHARE[TEXT_GRAM]).otherwise(LEAST_SHARE[PHRASE_GRAM])
     verified = F.when(F.col("base"), share == 1).otherwise(
-        (share >= LEAST_SHARE) & (F.col("end") - F.col("start") <= (F.col("grams") + 1) * MOST_STRETCH))
+        (share >= least) & (F.col("end") - F.col("start") <= (F.col("grams") + F.col("k") - 1) * MOST_STRETCH))
     span = F.when(verified, F.struct("template", "label", "base", "start", "end", share.alias("score")))
     return merged.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_list(span)).alias("spans")).drop("row")
 
@@ -105,20 +160,20 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rows = [f"({k}, '{label}', {base}, '{phrase}')"
-            for k, (label, phrase, base) in enumerate([(*x, "true") for x in BASE] + [(*x, "false") for x in TEMPLATES])]
+    rows = [f"({n}, '{label}', {str(base).lower()}, {k}, '{' '.join(ws)}')" for n, label, base, k, ws in templates()]
     return rf"""
-WITH templates(template, label, base, phrase) AS (VALUES {', '.join(rows)}),
+WITH templates(template, label, base, k, phrase) AS (VALUES {', '.join(rows)}),
 spoken AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
   FROM documents),
 counted AS (SELECT doc_id, max(len(w))::BIGINT AS n_words FROM spoken GROUP BY doc_id),
 grams AS (
-  SELECT template, label, base, len(t) - 1 AS grams, p - 1 AS p, t[p] AS a, t[p + 1] AS b
-  FROM (SELECT *, string_split(phrase, ' ') AS t, unnest(range(1, len(string_split(phrase, ' ')))) AS p FROM templates)),
-pairs AS (SELECT doc_id, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM spoken)),
-held AS (SELECT DISTINCT doc_id, template, label, base, grams, pos - p AS diagonal, p FROM pairs JOIN grams USING (a, b)),
+  SELECT template, label, base, k, len(t) - k + 1 AS grams, p - 1 AS p, array_to_string(t[p : p + k - 1], ' ') AS g
+  FROM (SELECT *, string_split(phrase, ' ') AS t, unnest(range(1, len(string_split(phrase, ' ')) - k + 2)) AS p FROM templates)),
+runs AS (SELECT doc_id, k, i - 1 AS pos, array_to_string(w[i : i + k - 1], ' ') AS g
+         FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM spoken, (VALUES ({PHRASE_GRAM}), ({TEXT_GRAM})) AS s(k) WHERE len(w) >= k)),
+held AS (SELECT DISTINCT doc_id, template, label, base, k, grams, pos - p AS diagonal, p FROM runs JOIN grams USING (k, g)),
 marked AS (
   SELECT *, CASE WHEN base THEN diagonal
                  ELSE sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal RANGE UNBOUNDED PRECEDING) END AS island
@@ -127,10 +182,13 @@ marked AS (
           SELECT doc_id, template, diagonal, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS gap
           FROM (SELECT DISTINCT doc_id, template, diagonal FROM held)) USING (doc_id, template, diagonal))),
 spans AS (
-  SELECT doc_id, template, label, base, round(island, 3) AS island, count(DISTINCT p) / any_value(grams) AS score,
-         min(diagonal + p) AS start, max(diagonal + p + 2) AS stop, any_value(grams) AS grams
+  SELECT doc_id, template, label, base, k, round(island, 3) AS island, count(DISTINCT p) / any_value(grams) AS score,
+         min(diagonal + p) AS start, max(diagonal + p + k) AS stop, any_value(grams) AS grams
   FROM marked GROUP BY ALL),
-good AS (SELECT * FROM spans WHERE CASE WHEN base THEN score = 1 ELSE score >= {LEAST_SHARE} AND stop - start <= (grams + 1) * {MOST_STRETCH} END)
+good AS (
+  SELECT * FROM spans
+  WHERE CASE WHEN base THEN score = 1
+             ELSE score >= CASE WHEN k = {TEXT_GRAM} THEN {LEAST_SHARE[TEXT_GRAM]} ELSE {LEAST_SHARE[PHRASE_GRAM]} END AND stop - start <= (grams + k - 1) * {MOST_STRETCH} END)
 SELECT doc_id, n_words, count(template) FILTER (WHERE base) AS n_base,
        min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels,
