@@ -41,12 +41,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_written(df: DataFrame) -> None:
-    """Delete a table of :func:`written` that nothing reads any more."""
-    context = df.sparkSession.sparkContext
-    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        folder = context._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+def remove_written(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 #: A key with one part in so many of all rows is met by broadcast: there are no more than that.

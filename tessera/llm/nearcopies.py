@@ -1,15 +1,19 @@
 """Near copies by five-word shingles: Jaccard similarity of 0.8 or more.
 
-MinHash bands only propose pairs; a pair is a link if its shingle sets, counted
+SimHash fingerprints of five-word shingles, compared tile by tile (operator 1),
+find most copies with few changes; but two texts of similarity 0.8 differ in
+ten of 64 bits, beyond a radius that tiles can tell apart. So MinHash bands
+propose pairs as well, and a pair is a link only if its shingle sets, counted
 in whole, are similar enough. A bucket of n texts first proposes n - 1 pairs,
 each text with the bucket's least, and the components of what holds are formed.
 Only texts of one bucket that are still in different components are then
-compared one with another, in blocks of bounded size. A large group of copies
-is thus one star, and no pair that a bucket holds is left out.
+compared one with another, in blocks of bounded size, by one bit each of a
+longer signature. A large group of copies is thus one star, and no pair that a
+bucket holds is left out.
 
 Two texts of similarity 0.8 share no bucket with a probability of 5e-8, and
-their signatures agree in too few places with one below 1e-8. Texts and
-shingles are compared by 64-bit hashes.
+their signatures agree in too few places with one of 2e-6. Texts and shingles
+are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,23 +23,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from . import simhash
+from .common import fresh, remove_written, written
 from .components import components
 from .decontaminate import gram_hashes
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
 PLACES = BANDS * ROWS
-#: Places in which the signatures of a pair agree at least, of PLACES.
-AGREE = 72
+#: Places in which the signatures of a pair agree at least, of PLACES; places of
+#: the longer signature, and in how many a pair's bits agree at least.
+AGREE, BITS, BITS_AGREE = 72, 1024, 876
 #: Texts of a block of a bucket, and shingles hashed at a time.
 BLOCK_ROWS, SHINGLES_AT_ONCE = 512, 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20_011)
-_SALTS, _ODDS = (_RNG.integers(0, 1 << 64, PLACES, np.uint64) for _ in range(2))
+_SALTS, _ODDS = (_RNG.integers(0, 1 << 64, BITS, np.uint64) for _ in range(2))
 _ODDS |= np.uint64(1)
 
 
@@ -56,10 +63,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    least = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64)
+def signature(found: np.ndarray, places: int = PLACES) -> np.ndarray:
+    least = np.full(places, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(found), SHINGLES_AT_ONCE):
-        np.minimum(least, ((found[k : k + SHINGLES_AT_ONCE, None] ^ _SALTS) * _ODDS).min(0), out=least)
+        np.minimum(least, ((found[k : k + SHINGLES_AT_ONCE, None] ^ _SALTS[:places]) * _ODDS[:places]).min(0), out=least)
     return least
 
 
@@ -77,13 +84,37 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["node", "keys", "marks"])
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bit of every place of a text's longer signature."""
+    for batch in batches:
+        made = [np.packbits(((signature(shingles(x.as_py()), BITS) * _MIX) >> np.uint64(63)).astype(np.uint8)).tobytes() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "bits"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures agree often enough."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES) for c in ("x", "y"))
+        yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= AGREE, pa.bool_()))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are compressed before they are shuffled."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(x.as_py()) for x in batch.column(1)], pa.binary())], names=["node", "packed"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         known, keep = {}, []
 
-        def of(node, raw, known=known):
+        def of(node, packed, known=known):
             if node not in known:
-                known[node] = shingles(raw.as_py())
+                if len(known) > 1000:
+                    known.clear()
+                known[node] = shingles(unpack(packed.as_py()))
             return known[node]
 
         for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
@@ -92,16 +123,16 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks' texts in different components whose signatures
-    agree often enough."""
+    """Pairs of two blocks' texts in different components whose longer
+    signatures agree often enough."""
     for batch in batches:
-        sides = [[batch.column(f"{s}_{x}") for x in ("node", "component", "marks")] for s in "ab"]
+        sides = [[batch.column(f"{s}_{x}") for x in ("node", "component", "bits")] for s in "ab"]
         for i, same in enumerate(batch.column("same").to_pylist()):
             (a, ca, ma), (b, cb, mb) = (
-                (n[i].values.to_numpy(), c[i].values.to_numpy(), np.frombuffer(b"".join(m[i].as_py()), np.uint8).reshape(-1, PLACES))
+                (n[i].values.to_numpy(), c[i].values.to_numpy(), np.frombuffer(b"".join(m[i].as_py()), np.uint64).reshape(-1, BITS // 64))
                 for n, c, m in sides)
             for k in range(len(a)):
-                near = (cb != ca[k]) & ((mb == ma[k]).sum(1) >= AGREE)
+                near = (cb != ca[k]) & (np.bitwise_count(mb ^ ma[k]).sum(1) <= BITS - BITS_AGREE)
                 if same:
                     near &= b > a[k]
                 if near.any():
@@ -117,42 +148,63 @@ def _text() -> Column:
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs that are similar."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = durable(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]))
-    both = (pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-            .join(held.select(F.col("node").alias("a"), F.col("text").alias("x")), "a"))
-    return durable(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"))
-
-
-def _pairs_left(buckets: DataFrame, signed: DataFrame, linked: DataFrame) -> DataFrame:
-    """Pairs of a bucket whose texts are in different components."""
-    placed = durable(buckets.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    held = written(texts.mapInArrow(_packed, "node long, packed binary").join(needed, "node", "left_semi").dropDuplicates(["node"]), "held")
+    both = (pairs.join(held.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b")
+            .join(held.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a"))
+    links = written(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
+    remove_written(held)
+    return links
+
+
+def _pairs_left(buckets: DataFrame, texts: DataFrame, linked: DataFrame, seen: DataFrame) -> DataFrame:
+    """Pairs of a bucket whose texts are in different components and may be
+    similar, but for those seen."""
+    placed = written(buckets.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     mixed = (placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low < high").select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
-    members = (placed.join(mixed, "key").join(signed.select("node", "marks"), "node")
+    open_ = written(placed.join(mixed, "key"), "open")
+    bits = written(texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_bits, "node long, bits binary").dropDuplicates(["node"]), "bits")
+    members = (open_.join(bits, "node")
                .withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")))
-    cut = durable(members.groupBy("key", "block").agg(
-        F.max("blocks").alias("blocks"), F.collect_list(F.struct("node", "component", "marks")).alias("m")))
-    side = lambda s: [F.col(f"m.{x}").alias(f"{s}_{x}") for x in ("node", "component", "marks")]
+    cut = written(members.groupBy("key", "block").agg(
+        F.max("blocks").alias("blocks"), F.collect_list(F.struct("node", "component", "bits")).alias("m")), "blocks")
+    side = lambda s: [F.col(f"m.{x}").alias(f"{s}_{x}") for x in ("node", "component", "bits")]
     alone = cut.select(*side("a"), *side("b"), F.lit(True).alias("same"))
     first = cut.where("blocks > 1").withColumn("block2", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).where("block2 > block")
     across = (first.select("key", "block2", *side("a"))
               .join(cut.select("key", F.col("block").alias("block2"), *side("b")), ["key", "block2"])
-              .select("a_node", "a_component", "a_marks", "b_node", "b_component", "b_marks", F.lit(False).alias("same")))
-    return alone.unionByName(across).mapInArrow(_open_pairs, "a long, b long").distinct()
+              .select("a_node", "a_component", "a_bits", "b_node", "b_component", "b_bits", F.lit(False).alias("same")))
+    left = written(alone.unionByName(across).mapInArrow(_open_pairs, "a long, b long").distinct().join(seen, ["a", "b"], "left_anti"), "left")
+    remove_written(placed, open_, bits, cut)
+    return left
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(node, component): the texts, by hash, that have a near copy, linked as
     far as similar pairs reach."""
     texts = docs.where("doc_id is not null").select(F.xxhash64(_text()).alias("node"), _text().alias("text"))
-    signed = durable(texts.mapInArrow(_signed, "node long, keys array<long>, marks binary").dropDuplicates(["node"]))
+    signed = written(texts.mapInArrow(_signed, "node long, keys array<long>, marks binary").dropDuplicates(["node"]), "signed")
     every = signed.select("node", F.explode("keys").alias("key"))
     shared = every.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most")
-    buckets = durable(every.join(shared, "key"))
-    stars = durable(buckets.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    buckets = written(every.join(shared, "key"), "buckets")
+    marks = lambda node, name: signed.select(F.col("node").alias(node), F.col("marks").alias(name))
+    proposed = buckets.select(F.col("least").alias("a"), F.col("node").alias("b")).unionByName(_simhash_pairs(texts)).where("a <> b").distinct()
+    stars = written(proposed.join(marks("b", "y"), "b").join(marks("a", "x"), "a").mapInArrow(_alike, "a long, b long"), "stars")
     links = _links(stars, texts)
-    left = durable(_pairs_left(buckets.drop("least"), signed, components(links, "a", "b")).join(stars, ["a", "b"], "left_anti"))
-    return components(links.unionByName(_links(left, texts)), "a", "b")
+    left = _pairs_left(buckets.drop("least"), texts, components(links, "a", "b"), stars)
+    more = _links(left, texts)
+    found = components(links.unionByName(more), "a", "b")
+    remove_written(signed, buckets, stars, links, left, more)
+    return found
+
+
+def _simhash_pairs(texts: DataFrame) -> DataFrame:
+    """Texts of one fingerprint with the least of them, and a forest of the
+    links between fingerprints."""
+    prints = written(simhash.fingerprints(texts, "node", "text", WIDTH).distinct(), "prints")
+    least = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "least")
+    equal = prints.join(least, "fp").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    return equal.unionByName(simhash.links(least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -160,12 +212,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Rows of equal doc_id are different documents unless their texts are near
     copies; rows without doc_id can't be named as members of a group and stay.
+    Of rows equal in id and text the one of least hash of all columns stays.
+    Null texts are empty ones, and all empty texts are copies of each other.
+    An empty table gives no rows; further columns stay as they are.
     """
-    named = docs.where("doc_id is not null").withColumn("__node", F.xxhash64(_text()))
-    heads = durable(named.select("doc_id", F.col("__node").alias("node")).distinct())
+    mark, whole = fresh("node", docs), fresh("whole", docs)
+    named = docs.where("doc_id is not null").withColumns({mark: F.xxhash64(_text()), whole: F.xxhash64(*(x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))))})
+    heads = written(named.groupBy("doc_id", F.col(mark).alias("node")).agg(F.min(whole).alias("row")), "heads")
     first = (heads.join(near_copies(docs), "node", "left")
              .groupBy(F.coalesce("component", "node").alias("component"))
-             .agg(F.min(F.struct("doc_id", "node")).alias("head"))
-             .select("head.doc_id", F.col("head.node").alias("__node")))
-    return (named.join(first, ["doc_id", "__node"]).dropDuplicates(["doc_id", "__node"]).select(docs.columns)
+             .agg(F.min(F.struct("doc_id", "node", "row")).alias("head"))
+             .select("head.doc_id", F.col("head.node").alias(mark), F.col("head.row").alias(whole)))
+    return (named.join(first, ["doc_id", mark, whole]).dropDuplicates(["doc_id", mark, whole]).select(docs.columns)
             .unionByName(docs.where("doc_id is null")))

@@ -135,7 +135,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts without words, null ones included, have fingerprint zero and link
     like any other. A row without doc_id is fingerprinted and takes its
     component from documents with the same fingerprint, or null. Repeated rows
-    are returned as often as they come. Columns besides the two are ignored.
+    are returned as often as they come, rows of equal id each with its own
+    fingerprint. An empty table gives no rows. Columns besides the two are ignored.
     """
     prints = durable(fingerprints(docs, id_col, text_col, width))
     nodes = durable(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
@@ -145,17 +146,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group: the one of least doc_id.
-
-    A doc_id that comes twice stays once; rows without doc_id can't be named as
-    members of a group and stay.
-    """
-    first = (near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct())
-    return (docs.join(first, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
-            .unionByName(docs.where("doc_id is null")))
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
