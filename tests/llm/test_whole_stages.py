@@ -45,24 +45,24 @@ def test_near_copies_of_08_go(spark, monkeypatch, block):
     assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(want, key=key)
 
 
-def test_block_count_changes_no_rows(spark, monkeypatch):
+def test_passes_and_hot_windows_change_no_rows(spark, monkeypatch):
     from tessera.llm import decontaminate
 
     dirty, other = (" ".join(f"{x}{k}" for k in range(20)) for x in ("asked", "more"))
     bench = spark.createDataFrame([(1, dirty), (2, other)], "item_id long, text string")
     texts = [(None, dirty), (None, "clean text without id"), (None, None), (1, dirty), (1, "clean under the id of another"), (2, "twice"), (2, "twice"), (3, f"{dirty} {other}")]
     docs = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in texts], SCHEMA).repartition(3)
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
-    assert len(list(decontaminate._blocks(bench, "item_id", "text"))) > 1
     found = {}
-    for size in (1 << 24, 100):
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+    for size, hot in ((decontaminate.PRINTS_AT_ONCE, decontaminate.HOT_SHARE), (3, 10**9)):
+        monkeypatch.setattr(decontaminate, "PRINTS_AT_ONCE", size)
+        monkeypatch.setattr(decontaminate, "BAD_AT_ONCE", size // 4)
+        monkeypatch.setattr(decontaminate, "HOT_SHARE", hot)
         judged = sorted(map(str, decontaminate.overlaps(docs, bench).collect()))
         kept = sorted(map(str, decontaminate.clean(docs, bench).select("doc_id", "text").collect()))
         found[size] = judged, kept
         assert len(judged) == len(texts)
         assert kept == sorted(f"Row(doc_id={k}, text={t!r})" for k, t in texts if dirty not in (t or ""))
-    assert found[100] == found[1 << 24]
+    assert len(found) == 2 and len(set(map(str, found.values()))) == 1
 
 
 def test_mix_takes_null_and_repeated_ids_as_planned(spark):
