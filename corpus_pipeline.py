@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages, each one operator of tessera.llm.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; all but the last return the columns of documents.
+kept; all but the last return the columns of documents. Null texts and texts
+without words fail the quality rules. Null and repeated ids, repeated rows and
+further columns are met as the operators' docstrings say; an empty table ends
+in an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from tessera.llm.common import shared_path, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge(docs).where("kept").select(docs.columns)
+    return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
