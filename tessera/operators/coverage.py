@@ -331,6 +331,20 @@ def insert_twice(t):
     return changes.insert(changes.insert(t("customer"), more), more)
 
 
+@query("""SELECT c_custkey, 'rich' AS broken FROM customer WHERE c_acctbal <= 0 UNION ALL SELECT c_custkey, 'near' FROM customer WHERE nullif(c_nationkey, 3) >= 20""")
+def adorned_constraints(t):
+    people = t("customer").adorn(constraints={"rich": "c_acctbal > 0", "near": "nullif(c_nationkey, 3) < 20"})
+    return people.violations("broken").select("c_custkey", "broken")
+
+
+@query("SELECT * FROM customer UNION SELECT s_suppkey + 5000000000, s_name, 7, NULL, 'NONE' FROM supplier")
+def insert_defaults(t):
+    from ..plans import changes
+
+    people = t("customer").adorn(defaults={"c_nationkey": 7, "c_mktsegment": "NONE"})
+    return changes.insert(people, t("supplier").specify(c_custkey="s_suppkey + 5000000000", c_name="s_name"))
+
+
 # Scalar families
 
 @query("""SELECT p_partkey, substr(p_name, 3, 1) AS char_at, CASE WHEN strpos(reverse(p_name), 'd') = 0 THEN -1 ELSE length(p_name) - strpos(reverse(p_name), 'd') END::INT AS last_d,

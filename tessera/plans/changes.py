@@ -8,6 +8,7 @@ old rows, to be saved beside them. Keys are not enforced here; see
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,10 +17,11 @@ from .relation import Relation, _column
 
 
 def insert(target: Relation, rows: Relation) -> Relation:
-    """The target with new rows; columns that the rows lack are nil. A row that
-    is there already stays one row."""
-    both = target.df.unionByName(rows.df, allowMissingColumns=True).select(target.columns)
-    return Relation(both.distinct(), target.keys or frozenset([frozenset(target.columns)]))
+    """The target with new rows; columns that the rows lack get their default,
+    or nil. A row that is there already stays one row."""
+    new = rows.df.withColumns({c: F.lit(v) for c, v in target.defaults.items() if c not in rows.columns})
+    both = target.df.unionByName(new, allowMissingColumns=True).select(target.columns)
+    return replace(target, df=both.distinct(), keys=target.keys or frozenset([frozenset(target.columns)]))
 
 
 def delete(target: Relation, condition: Column | str) -> Relation:

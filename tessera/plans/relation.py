@@ -50,6 +50,9 @@ class Relation:
     df: DataFrame
     keys: frozenset[Key] = field(default_factory=frozenset)
     ordering: tuple[tuple[str, bool], ...] = ()
+    #: Values of columns that an insert leaves out, and named conditions on each row.
+    defaults: Mapping[str, object] = field(default_factory=dict)
+    constraints: Mapping[str, str] = field(default_factory=dict)
 
     @classmethod
     def of(cls, df: DataFrame, *keys: Iterable[str]) -> Relation:
@@ -122,12 +125,21 @@ class Relation:
         kept = [k for k in self.keys if not k & set(made)]
         return self._made(df, kept)
 
-    def adorn(self, *keys: Iterable[str], order: tuple[tuple[str, bool], ...] = (), metadata: Mapping[str, dict] | None = None) -> Relation:
-        """Attach keys, an order or metadata. The rows stay as they are."""
+    def adorn(self, *keys: Iterable[str], order: tuple[tuple[str, bool], ...] = (), metadata: Mapping[str, dict] | None = None,
+              defaults: Mapping[str, object] | None = None, constraints: Mapping[str, str] | None = None) -> Relation:
+        """Attach keys, an order, metadata, defaults or constraints. The rows
+        stay as they are: nothing is enforced here."""
         df = self.df
         for name, tags in (metadata or {}).items():
             df = df.withMetadata(name, tags)
-        return Relation(df, _least([*self.keys, *(Key(k) for k in keys)]), order or self.ordering)
+        return Relation(df, _least([*self.keys, *(Key(k) for k in keys)]), order or self.ordering,
+                        {**self.defaults, **(defaults or {})}, {**self.constraints, **(constraints or {})})
+
+    def violations(self, name: str = "constraint") -> DataFrame:
+        """The rows for which a constraint is false, once for each, with its
+        name; nil satisfies it. One pass over the rows."""
+        broken = F.array_compact(F.array(*(F.when(~F.coalesce(F.expr(c), F.lit(True)), F.lit(n)) for n, c in self.constraints.items())))
+        return self.df.select("*", F.explode(broken).alias(name)) if self.constraints else self.df.limit(0).withColumn(name, F.lit(""))
 
     # Joins
 
