@@ -135,8 +135,10 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan, range-sorted by the position of each document's first copy."""
     plan = curriculum(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", F.get("copies", 0)["position"].alias("first_position"))
+    made = plan.select("doc_id", "size", "source_size", "target", "taken", F.get("copies", 0)["position"].alias("first_position"))
+    return made.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 QUERIES = {"op6_mixing": op6_mixing}
