@@ -191,9 +191,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     proposed = buckets.select(F.col("least").alias("a"), F.col("node").alias("b")).unionByName(_simhash_pairs(texts)).where("a <> b").distinct()
     stars = written(proposed.join(marks("b", "y"), "b").join(marks("a", "x"), "a").mapInArrow(_alike, "a long, b long"), "stars")
     links = _links(stars, texts)
-    left = _pairs_left(buckets.drop("least"), texts, components(links, "a", "b"), stars)
+    linked = components(links, "a", "b")
+    left = _pairs_left(buckets.drop("least"), texts, linked, stars)
     more = _links(left, texts)
-    found = components(links.unionByName(more), "a", "b")
+    found = components(linked.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), "a", "b")
     remove_written(signed, buckets, stars, links, left, more)
     return found
 
