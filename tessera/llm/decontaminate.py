@@ -31,7 +31,7 @@ PRINTS_AT_ONCE, BAD_AT_ONCE = 2_000_000, 1_000_000
 #: Parts that the rows of a window with one in HOT_SHARE of all candidates are dealt to.
 SALTS = 64
 #: Bytes of text whose words are hashed together.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BASE, _MIX, _PLACE = 0x5851F42D4C957F2D, np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 24) - 1)
 
 

@@ -38,8 +38,8 @@ PLACES = BANDS * ROWS
 #: Places in which the signatures of a pair agree at least, of PLACES; places of
 #: the longer signature, and in how many a pair's bits agree at least.
 AGREE, BITS, BITS_AGREE = 72, 1024, 876
-#: Texts of a block of a bucket, and shingles hashed at a time.
-BLOCK_ROWS, SHINGLES_AT_ONCE = 512, 2048
+#: Texts of a block of a bucket; texts signed, and hashes of shingles made, at a time.
+BLOCK_ROWS, TEXTS_AT_ONCE, HASHES_AT_ONCE = 512, 500, 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20_011)
 _SALTS, _ODDS = (_RNG.integers(0, 1 << 64, BITS, np.uint64) for _ in range(2))
@@ -65,14 +65,21 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def signature(found: np.ndarray, places: int = PLACES) -> np.ndarray:
     least = np.full(places, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(found), SHINGLES_AT_ONCE):
-        np.minimum(least, ((found[k : k + SHINGLES_AT_ONCE, None] ^ _SALTS[:places]) * _ODDS[:places]).min(0), out=least)
+    step = HASHES_AT_ONCE // places
+    for k in range(0, len(found), step):
+        np.minimum(least, ((found[k : k + step, None] ^ _SALTS[:places]) * _ODDS[:places]).min(0), out=least)
     return least
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(low, TEXTS_AT_ONCE)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The keys of a text's buckets, and a byte of every place of its signature."""
-    for batch in batches:
+    for batch in _slices(batches):
         least = np.array([signature(shingles(x.as_py())) for x in batch.column(1)], np.uint64).reshape(-1, PLACES)
         keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(least), BANDS)).copy()
         for k in range(ROWS):
@@ -86,7 +93,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bit of every place of a text's longer signature."""
-    for batch in batches:
+    for batch in _slices(batches):
         made = [np.packbits(((signature(shingles(x.as_py()), BITS) * _MIX) >> np.uint64(63)).astype(np.uint8)).tobytes() for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "bits"])
 

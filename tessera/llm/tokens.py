@@ -37,9 +37,9 @@ from .common import partitions, shared_path, table
 
 END_ID = 0
 #: Pieces that a worker remembers; beyond this it starts anew.
-PIECES = 500_000
+PIECES = 150_000
 #: Bytes of text encoded at a time.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 #: Row groups and pages of the files.
 LAYOUT = {
     "parquet.block.size": 32 << 20, "parquet.page.size": 256 << 10, "parquet.page.row.count.limit": 2000,
