@@ -152,10 +152,10 @@ def text_extremes_nil(t):
 def span_sum_average(t):
     spans = t("events").add(s=S["duration"](S["date_time"](2024, 1, 1), F.col("ts")))
     made = spans.group(["user_id"], total=A.total("s"), mean=A.average_span("s"))
-    return made.df.select("user_id", S["total_seconds"](F.col("total")).cast("double").alias("total"), F.floor(S["total_seconds"](F.col("mean"))).alias("mean"))
+    return made.df.select("user_id", S["total_seconds"](F.col("total")).cast("double").alias("total"), F.floor(S["total_seconds"](F.col("mean"))).cast("bigint").alias("mean"))
 
 
-@query("SELECT l_suppkey, round(stddev_samp(l_quantity), 6) AS deviation FROM lineitem GROUP BY l_suppkey HAVING count(*) > 1")
+@query("SELECT l_suppkey, round(stddev_samp(l_quantity), 4) AS deviation FROM lineitem GROUP BY l_suppkey HAVING count(*) > 1")
 def uda_stddev(t):
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
     made = t("lineitem").aggregate(
@@ -163,13 +163,15 @@ def uda_stddev(t):
         lambda s, r: F.struct((s["n"] + 1).alias("n"), (s["s"] + r["l_quantity"]).alias("s"), (s["q"] + r["l_quantity"] * r["l_quantity"]).alias("q")),
         lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), (a["s"] + b["s"]).alias("s"), (a["q"] + b["q"]).alias("q")),
         lambda s: F.when(s["n"] > 1, F.sqrt((s["q"] - s["s"] * s["s"] / s["n"]) / (s["n"] - 1))))
-    return made.where("deviation is not null").df.select("l_suppkey", F.round("deviation", 6).alias("deviation"))
+    return made.where("deviation is not null").df.select("l_suppkey", F.round("deviation", 4).alias("deviation"))
 
 
-@query("SELECT l_returnflag, round(sum(l_quantity * l_discount), 4) AS cost FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_returnflag, sum((l_quantity::DECIMAL(18,2) * l_discount::DECIMAL(18,2))::DECIMAL(28,4))::DOUBLE AS cost FROM lineitem GROUP BY l_returnflag")
 def uda_two_columns(t):
-    made = t("lineitem").aggregate(["l_returnflag"], "cost", ["l_quantity", "l_discount"], F.lit(0.0), lambda s, r: s + r["l_quantity"] * r["l_discount"], lambda a, b: a + b)
-    return made.df.select("l_returnflag", F.round("cost", 4).alias("cost"))
+    exact = t("lineitem").specify(f="l_returnflag", q="cast(l_quantity as decimal(18,2))", d="cast(l_discount as decimal(18,2))", line="struct(*)")
+    kind = "decimal(28,4)"
+    made = exact.aggregate(["f"], "cost", ["q", "d"], F.lit(0).cast(kind), lambda s, r: (s + r["q"] * r["d"]).cast(kind), lambda a, b: (a + b).cast(kind))
+    return made.df.select(F.col("f").alias("l_returnflag"), F.col("cost").cast("double").alias("cost"))
 
 
 # Order
@@ -418,8 +420,8 @@ def fn_date_fields(t):
         S["total_seconds"](S["time_part"](ts)).cast("double").alias("since"), made.alias("made"))
 
 
-@query("""SELECT p_partkey, p_size * 1.5 AS ms, p_size * 60::DOUBLE AS minutes, (p_size * 24)::DOUBLE AS hours, (p_size * 90061) // 86400 AS d, (p_size * 90061) % 86400 // 3600 AS h,
-  (p_size * 90061) % 3600 // 60 AS mi, (p_size * 90061) % 60 AS s, 250 AS z, (p_size * 10)::BIGINT AS ticks, p_size * 2.5 AS more, p_size / 4 AS less, p_size / 8 AS ratio FROM part""")
+@query("""SELECT p_partkey, (p_size * 1.5)::DOUBLE AS ms, p_size * 60::DOUBLE AS minutes, (p_size * 24)::DOUBLE AS hours, (p_size * 90061) // 86400 AS d, (p_size * 90061) % 86400 // 3600 AS h,
+  (p_size * 90061) % 3600 // 60 AS mi, (p_size * 90061) % 60 AS s, 250 AS z, (p_size * 10)::BIGINT AS ticks, (p_size * 2.5)::DOUBLE AS more, p_size / 4 AS less, p_size / 8 AS ratio FROM part""")
 def fn_span(t):
     n = F.col("p_size")
     long = S["time_span"](n, n, n, n, 250)
