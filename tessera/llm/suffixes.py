@@ -14,9 +14,11 @@ larger ones where its longest next factor does: a window whose previous factor
 has `length` bytes or more is a later copy, one whose next factor has is an
 earlier copy. To keep first copies, later ones go; else both go.
 
-An anchor with more spans than one task should hold is dealt to parts. Every
-part is solved alike; windows that are the first of their kind in a part of
-several then meet once more by digest, one for each part.
+An anchor with more spans than one task should hold is not solved: its spans are
+texts of the same problem with longer grams, so they are dealt to anchors that
+tell more of a window. Spans that nothing shares such an anchor with drop out
+there, others become equal as they get shorter. A gram as long as a window ends
+this, since all its spans are equal.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ from .common import met_by_key, partitions, remove_written, table, written
 LENGTH, GRAM = 200, 32
 #: Window starts of a text that are looked at together.
 CHUNK = 1 << 20
-#: Spans of an anchor in one part; bytes of spans sorted at a time.
-PART_SPANS, SORTED_BYTES = 2048, 2 << 20
+#: Spans of an anchor that one task solves; bytes of spans sorted at a time.
+PART_SPANS, SORTED_BYTES = 2048, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POSITION = np.uint64((1 << 22) - 1)
@@ -83,9 +84,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def text_spans(raw: bytes, length: int, rolling: Rolling) -> Iterator[tuple[np.ndarray, ...]]:
+def text_spans(raw: bytes, length: int, gram: int, rolling: Rolling) -> Iterator[tuple[np.ndarray, ...]]:
     """(anchor hash, digest, first window start, windows) of all spans, chunk by chunk."""
-    gram = min(GRAM, length // 2)
     for low in range(0, len(raw) - length + 1, CHUNK):
         s = np.frombuffer(raw, np.uint8, min(CHUNK + length - 1, len(raw) - low), low)
         total = rolling.sums(s)
@@ -98,14 +98,14 @@ def text_spans(raw: bytes, length: int, rolling: Rolling) -> Iterator[tuple[np.n
         yield grams[chosen[first].astype(np.int64)], rolling.slices(total, first, first + count + (length - 1)), first + low, count
 
 
-def _anchors(length: int, kept: int):
+def _anchors(length: int, gram: int, kept: int):
     """Spans of texts; the columns before the text are carried along."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
             rows, columns, sized = [], [[], [], [], []], 0
             for k, text in enumerate(batch.column(kept)):
-                for found in text_spans(text.as_py(), length, rolling):
+                for found in text_spans(text.as_py(), length, gram, rolling):
                     for column, values in zip(columns, found, strict=True):
                         column.append(values)
                     rows.append(np.full(len(found[0]), k))
@@ -205,40 +205,49 @@ def _ranges(mask: np.ndarray) -> list[int]:
 
 
 def _solve(length: int, keep_first: bool):
-    """Ranges of windows that go, for spans sorted by anchor, part and place."""
+    """Ranges of windows that go, for spans sorted by anchor, part and place; spans
+    of anchors in several parts are passed on with place and bytes."""
     rolling = Rolling()
 
-    def solve(spans: list[tuple]) -> pa.RecordBatch:
+    def made(rows: list[tuple], crowd: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), crowd)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "s", "last", "cut", "crowd"])
+
+    def solve(spans: list[tuple], crowd: pa.DataType) -> pa.RecordBatch:
         sizes = np.array([len(raw) for *_, raw in spans], np.int64)
         bases, counts = np.cumsum(sizes) - sizes, sizes - length + 1
         starts = np.repeat(bases - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         earlier, later = factors(np.frombuffer(b"".join(raw for *_, raw in spans), np.uint8), starts, length, rolling)
         gone, stops, rows = earlier if keep_first else earlier | later, np.cumsum(counts), []
-        for (h, s, last, parts, raw), n, stop in zip(spans, counts.tolist(), stops.tolist(), strict=True):
-            cut = _ranges(gone[stop - n : stop])
-            lone = np.flatnonzero(~earlier[stop - n : stop]).tolist() if parts > 1 else []
-            if cut or lone:
-                rows.append((h, s, last, cut, [{"k": k, "digest": xxhash.xxh3_128_digest(raw[k : k + length])} for k in lone]))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.struct([("k", pa.int32()), ("digest", pa.binary())])))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "s", "last", "cut", "open"])
+        for (h, s, last, _), n, stop in zip(spans, counts.tolist(), stops.tolist(), strict=True):
+            if cut := _ranges(gone[stop - n : stop]):
+                rows.append((h, s, last, cut, None))
+        return made(rows, crowd)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, group, seen = [], 0, None, None
+        held, passed, size, group, seen, crowd = [], [], 0, None, None, None
         for batch in batches:
-            names = ("h", "part", "s", "last", "parts", "row", "low", "raw")
-            for h, part, s, last, parts, row, low, raw in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            crowd = pa.struct([batch.schema.field(c) for c in ("order", "row", "low", "raw")])
+            names = ("h", "part", "s", "last", "parts", "order", "row", "low", "raw")
+            for h, part, s, last, parts, order, row, low, raw in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if (h, part) != group:
                     group = h, part
                     if size >= SORTED_BYTES:
-                        yield solve(held)
+                        yield solve(held, crowd)
                         held, size = [], 0
                 if (h, part, s, last, row, low) != seen:  # rows equal in all give one span again
                     seen = h, part, s, last, row, low
-                    held.append((h, s, last, parts, raw))
-                    size += len(raw)
+                    if parts > 1:
+                        passed.append((h, s, last, [], {"order": order, "row": row, "low": low, "raw": raw}))
+                    else:
+                        held.append((h, s, last, raw))
+                        size += len(raw)
+            if passed:
+                yield made(passed, crowd)
+                passed = []
         if held:
-            yield solve(held)
+            yield solve(held, crowd)
 
     return run
 
@@ -258,42 +267,45 @@ def _cut_spans(length: int):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows, size = [], 0
+            types = batch.schema.field("wanted").type.value_type.field("order").type, batch.schema.field("row").type
             for row, packed, wanted in zip(batch.column("row").to_pylist(), batch.column("packed"), batch.column("wanted"), strict=True):
                 raw = unpack(packed.as_py())
                 for x in wanted.as_py():
                     rows.append((*(x[c] for c in ("h", "part", "parts", "s", "last", "order")), row, x["low"], raw[x["low"] : x["low"] + x["n"] + length - 1]))
                     size += x["n"] + length
                 if size > SORTED_BYTES:
-                    yield _spans_batch(rows)
+                    yield _spans_batch(rows, *types)
                     rows, size = [], 0
-            yield _spans_batch(rows)
+            yield _spans_batch(rows, *types)
 
     return run
 
 
-_SPAN = "h long, part int, parts int, s long, last boolean, order long, row long, low long, raw binary"
+_SPAN = ("h", "part", "parts", "s", "last", "order", "row", "low", "raw")
 
 
-def _spans_batch(rows: list) -> pa.RecordBatch:
+def _spans_batch(rows: list, order: pa.DataType, row: pa.DataType) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * 9
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _SPAN.split(", ")])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), order, row, pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_SPAN)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, gram: int | None = None) -> DataFrame:
     """(row, cuts): for each row with repeats its removed byte ranges.
 
     `docs` has row (a key of documents), order (what the first copy is the
-    first by) and text (binary, not null).
+    first by) and text (binary, not null). `gram` is the length of anchors.
     """
     if length < 16:
         raise ValueError("windows have 16 bytes or more")
+    gram = gram or min(GRAM, length // 2)
     # Without first copies to keep, the order of documents tells nothing.
     placed = docs.select("row", F.col("order") if keep_first else F.lit(0).cast("long").alias("order"), "text")
-    found = written(placed.mapInArrow(_anchors(length, 2), "row long, order long, h long, s long, low long, n int"), "spans")
-    shared = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-                     .select("h", "c", F.ceil(F.col("c") / PART_SPANS).cast("int").alias("parts")), "anchors")
-    total = shared.agg(F.sum("c")).first()[0] or 0
+    row_type, order_type = (placed.schema[c].dataType.simpleString() for c in ("row", "order"))
+    found = written(placed.mapInArrow(_anchors(length, gram, 2), f"row {row_type}, order {order_type}, h long, s long, low long, n int"), "spans")
+    parts = F.ceil(F.col("c") / PART_SPANS).cast("int") if gram < length else F.lit(1)
+    shared = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "c", parts.alias("parts")), "anchors")
+    total, most = shared.agg(F.coalesce(F.sum("c"), F.lit(0)), F.max("parts")).first()
     kept = written(met_by_key(found, shared, ["h"], "c", total).drop("c"), "shared")
     remove_written(found)
     remove_written(shared)
@@ -307,18 +319,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> D
                                                                    .otherwise(F.array(one("first", False)))).alias("x"))
               .groupBy(F.col("x.row").alias("row"))
               .agg(F.collect_list(F.struct("h", "s", "n", "parts", "part", "x.order", "x.low", "x.last")).alias("wanted")))
-    cut = docs.select("row", "text").mapInArrow(_packed, "row long, packed binary").join(wanted, "row").mapInArrow(_cut_spans(length), _SPAN)
+    cut = docs.select("row", "text").mapInArrow(_packed, f"row {row_type}, packed binary").join(wanted, "row").mapInArrow(
+        _cut_spans(length), f"h long, part int, parts int, s long, last boolean, order {order_type}, row {row_type}, low long, raw binary")
     dealt = cut.repartition(partitions(docs.sparkSession), "h", "part").sortWithinPartitions("h", "part", "order", "row", "low", "last", "s")
-    solved = written(dealt.mapInArrow(_solve(length, keep_first), "h long, s long, last boolean, cut array<int>, open array<struct<k:int,digest:binary>>"), "cuts")
-
-    # Firsts of the parts of one anchor: one window of a kind from each part.
-    lone = (solved.where("size(open) > 0").select("h", "s", "last", F.explode("open").alias("x"))
-            .join(spans.select("h", "s", "first", "final"), ["h", "s"])
-            .select("h", "s", "last", "x.k", "x.digest", F.expr("struct(if(last, final, first) as at, x.k as k)").alias("at")))
-    kinds = lone.groupBy("digest").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    across = lone.join(kinds, "digest").where("at <> least" if keep_first else "true").groupBy("h", "s", "last").agg(
-        F.flatten(F.collect_list(F.array("k", F.col("k") + 1))).alias("cut"))
-    ranges = solved.select("h", "s", "last", "cut").unionByName(across).groupBy("h", "s").agg(
+    solved = written(dealt.mapInArrow(_solve(length, keep_first),
+                                      f"h long, s long, last boolean, cut array<int>, crowd struct<order:{order_type},row:{row_type},low:bigint,raw:binary>"), "cuts")
+    cuts = solved.where("crowd is null").select("h", "s", "last", "cut")
+    if (most or 1) > 1:
+        crowded = solved.where("crowd is not null").select(F.struct("h", "s", "last").alias("row"), F.struct("crowd.order", "crowd.row", "crowd.low", "last").alias("order"), F.col("crowd.raw").alias("text"))
+        inner = repeats(crowded, length, keep_first, length - (length - gram) // 4)
+        cuts = cuts.unionByName(inner.select("row.*", F.expr("flatten(transform(cuts, x -> transform(x.cut, k -> k + cast(x.low as int))))").alias("cut")))
+    ranges = cuts.groupBy("h", "s").agg(
         *(F.flatten(F.collect_list(F.when(F.col("last") == last, F.col("cut")))).alias(name) for name, last in (("of_first", False), ("of_last", True))))
     marks = written(spans.join(ranges, ["h", "s"]).select("h", "s", "c", "first", "of_first", "of_last"), "marks")
     own = F.when(spot.eqNullSafe(F.col("first")), F.col("of_first")).otherwise(F.col("of_last")) if keep_first else F.col("of_first")
@@ -328,11 +339,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> D
 
 
 def _without_cuts(length: int):
+    def made(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())],
+                                          names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            rows = []
-            for packed, cuts in zip(batch.column("packed"), batch.column("cuts"), strict=True):
+            rows, size, ids = [], 0, batch.column("doc_id")
+            for n, (packed, cuts) in enumerate(zip(batch.column("packed"), batch.column("cuts"), strict=True), 1):
                 raw, kept, at, spans, removed = unpack(packed.as_py()), [], 0, 0, 0
                 ranges = sorted((x["low"] + x["cut"][k], x["low"] + x["cut"][k + 1] + length - 1) for x in cuts.as_py() or () for k in range(0, len(x["cut"]), 2))
                 end = -1
@@ -345,10 +361,11 @@ def _without_cuts(length: int):
                     end = at = max(end, b)
                 kept.append(raw[at:])
                 rows.append((len(raw), removed, spans, b"".join(kept)))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                size += len(raw)
+                if size > SORTED_BYTES:
+                    yield made(ids.slice(n - len(rows), len(rows)), rows)
+                    rows, size = [], 0
+            yield made(ids.slice(len(ids) - len(rows)), rows)
 
     return run
 
