@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.numbering import durable, numbered, shared_dir
 
-__all__ = ["NOT_ALNUM", "SPACE", "ascii_lower", "durable", "fresh", "met_by_key", "numbered", "partitions", "remove_written", "shared_path", "table", "words", "written"]
+__all__ = ["NOT_ALNUM", "SPACE", "ascii_lower", "durable", "fresh", "lean", "met_by_key", "numbered", "partitions", "remove_written", "shared_path", "table", "words", "written"]
 
 #: ASCII white space, and the inside of a character class of what isn't a word.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -50,6 +53,20 @@ def remove_written(*tables: DataFrame) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, after which the worker gives free memory back to the
+    system. An executor may have more workers than tasks, and those that wait
+    would keep what their last task took."""
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
+
+    return then
+
+
 #: A key with one part in so many of all rows is met by broadcast: there are no more than that.
 HOT_SHARE = 1000
 

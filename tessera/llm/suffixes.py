@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import met_by_key, partitions, remove_written, table, written
+from .common import lean, met_by_key, partitions, remove_written, table, written
 
 LENGTH, GRAM = 200, 32
 #: Window starts of a text that are looked at together.
@@ -118,7 +118,7 @@ def _anchors(length: int, gram: int, kept: int):
                         names=[*batch.schema.names[:kept], "h", "s", "low", "n"])
                     rows, columns, sized = [], [[], [], [], []], 0
 
-    return run
+    return lean(run)
 
 
 # Suffix order and factors
@@ -249,17 +249,24 @@ def _solve(length: int, keep_first: bool):
         if held:
             yield solve(held, crowd)
 
-    return run
+    return lean(run)
 
 
 # Texts on their way
 
+@lean
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, texts, is compressed before it is shuffled."""
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        *others, texts = batch.columns
-        yield pa.RecordBatch.from_arrays([*others, pa.array([pack(x.as_py()) for x in texts], pa.binary())], names=[*batch.schema.names[:-1], "packed"])
+        names, texts, size = [*batch.schema.names[:-1], "packed"], [], 0
+        for n, text in enumerate(batch.column(batch.num_columns - 1), 1):
+            texts.append(pack(text.as_py()))
+            size += len(texts[-1])
+            if size > SORTED_BYTES or n == batch.num_rows:
+                others = batch.slice(n - len(texts), len(texts)).columns[:-1]
+                yield pa.RecordBatch.from_arrays([*others, pa.array(texts, pa.binary())], names=names)
+                texts, size = [], 0
 
 
 def _cut_spans(length: int):
@@ -278,7 +285,7 @@ def _cut_spans(length: int):
                     rows, size = [], 0
             yield _spans_batch(rows, *types)
 
-    return run
+    return lean(run)
 
 
 _SPAN = ("h", "part", "parts", "s", "last", "order", "row", "low", "raw")
@@ -367,7 +374,7 @@ def _without_cuts(length: int):
                     rows, size = [], 0
             yield made(ids.slice(len(ids) - len(rows)), rows)
 
-    return run
+    return lean(run)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
