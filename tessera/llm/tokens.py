@@ -11,7 +11,9 @@ Byte-level BPE pieces never reach across a single space between two other
 characters, nor from a word to the ASCII sign that follows. Where the tokenizer
 is of that kind, Arrow splits a batch of texts there and numbers the different
 pieces, each is encoded once, and the ids of the texts are gathered by number;
-they are those of the whole texts. Another tokenizer encodes whole texts.
+they are those of the whole texts. A worker remembers pieces for its later
+batches, found by a hash and compared in whole; those met again outlast the
+others. Another tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 from types import ModuleType
 
 import numpy as np
@@ -36,8 +39,12 @@ from pyspark.sql import functions as F
 from .common import partitions, shared_path, table
 
 END_ID = 0
-#: Pieces that a worker remembers; beyond this it starts anew.
-PIECES = 150_000
+#: Pieces that a worker remembers; beyond this, or IDS ids of each, it keeps
+#: the half at most, of pieces of at most IDS ids that were met most often.
+PIECES, IDS = 250_000, 16
+#: Bytes of a piece that its hash looks at, and their weights and the length's.
+HASHED = 64
+WEIGHTS = np.random.default_rng(0).integers(1 << 63, size=HASHED + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of text encoded at a time.
 AT_ONCE = 1 << 20
 #: Row groups and pages of the files.
@@ -48,10 +55,29 @@ LAYOUT = {
 }
 #: A space that isn't alone before the next character, the spaces that texts
 #: are cut at, the ends of words before an ASCII sign, and the mark put there.
-UNSAFE, CUT = r" (?:[\s\x0b\x1c-\x1f\x{85}\pZ]|\z)", re.compile(r"(?<=\S) (?=\S)")
+UNSAFE, CUT = r" (?:[\s\x0b\x1c-\x1f\x{85}\pZ]|\z)", re.compile(r"(?<=\S)(?= \S)")
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 WORD_END, MARK = rf"([{LETTERS}])([!-@\[-`{{-~\n])", "\x1f"
-WORD = rf"\A[{LETTERS}]+\z"
+WORD = rf"\A [{LETTERS}]+\z"
+
+
+def _strings(texts: pa.Array) -> list[str]:
+    """As to_pylist, without a scalar of each."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def _hashes(pieces: pa.Array) -> np.ndarray:
+    """64 bits of each piece, of its length and its first bytes."""
+    if not len(pieces):
+        return np.empty(0, np.uint64)
+    stops = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+    length = np.diff(stops)
+    size = np.minimum(length, HASHED)
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    found = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[np.repeat(stops[:-1], size) + place]
+    sums = np.append(np.uint64(0), np.cumsum((found + np.uint64(1)) * WEIGHTS[place]))
+    return sums[ends] - sums[ends - size] + length.astype(np.uint64) * WEIGHTS[HASHED]
 
 
 def cuts_at_spaces(definition: str) -> bool:
@@ -68,8 +94,8 @@ def cuts_at_spaces(definition: str) -> bool:
 
 
 class Encoder:
-    """Ids of whole texts. Pieces met before are numbered, those with a space
-    before them apart from the others; their ids lie one after the other."""
+    """Ids of whole texts. Pieces met before are numbered, a space before a
+    word is part of its piece; their ids lie one after the other."""
 
     def __init__(self, definition: str):
         self.tokenizer, self.cuts = tokenizers.Tokenizer.from_str(definition), cuts_at_spaces(definition)
@@ -80,12 +106,9 @@ class Encoder:
         #: The printable stand-in that a byte-level vocabulary has for each byte.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.signs = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = [pa.array([], pa.string())] * 2
-        self.number = [np.empty(0, np.int32)] * 2
-        self.ids, self.stops = array("i"), array("i", [0])
+        self.known, self.ids, self.stops = pa.array([], pa.string()), array("i"), array("i", [0])
+        #: The batches that met a piece again; hashes in order, and their pieces.
+        self.met, self.hashes, self.order = np.empty(0, np.int32), np.empty(0, np.uint64), np.empty(0, np.int32)
 
     @classmethod
     def of(cls, definition: str) -> Encoder:
@@ -95,71 +118,77 @@ class Encoder:
             state.update(definition=definition, encoder=cls(definition))
         return state["encoder"]
 
-    def _numbers(self, pieces: pa.Array, spaced: bool) -> np.ndarray:
+    def _lists(self) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.array(self.stops, np.int32)), pa.array(np.array(self.ids, np.int32)))
+
+    def _forget(self) -> None:
+        half, sizes = PIECES // 2, np.diff(np.array(self.stops, np.int32))
+        least = np.partition(self.met, -half)[-half] if len(self.met) > half else 0
+        kept = np.flatnonzero((self.met > least) & (sizes <= IDS))
+        self.ids, self.stops = array("i", self._lists().take(pa.array(kept)).flatten().to_numpy().tobytes()), array("i", [0, *np.cumsum(sizes[kept]).tolist()])
+        self.known, self.met = self.known.take(pa.array(kept)), self.met[kept] // 2
+        hashes = _hashes(self.known)
+        self.order = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.order]
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
         """The numbers of different pieces; those not met before are encoded."""
-        new = pieces.filter(pc.is_null(pc.index_in(pieces, self.known[spaced])))
+        number, hashes = np.zeros(len(pieces), np.int32), _hashes(pieces)
+        again = np.zeros(len(pieces), bool)
+        if len(self.known):
+            number = self.order[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)]
+            # Pieces that share a hash with another are encoded again.
+            again = pc.equal(pieces, self.known.take(pa.array(number))).to_numpy(zero_copy_only=False)
+            self.met[number[again]] += 1
+        new = np.flatnonzero(~again)
         if len(new):
             # A space and letters are one piece before BPE, so the model alone will do.
-            words = pc.match_substring_regex(new, WORD) if spaced else pa.array(np.zeros(len(new), bool))
-            words, others = new.filter(words), new.filter(pc.invert(words))
-            ids, stops, tokenize, space = self.ids, self.stops, self.model.tokenize, self.signs[32]
-            for p in words.to_pylist():
-                for x in tokenize(space + (p if p.isascii() else p.encode().decode("latin-1").translate(self.signs))):
-                    ids.append(x.id)
+            word = pc.match_substring_regex(pieces.take(pa.array(new)), WORD).to_numpy(zero_copy_only=False)
+            new, n_words = np.concatenate([new[word], new[~word]]), int(word.sum())
+            made = pieces.take(pa.array(new))
+            ids, stops, tokenize, number_of, space = self.ids, self.stops, self.model.tokenize, attrgetter("id"), self.signs[32]
+            for p in _strings(made.slice(0, n_words)):
+                ids.extend(map(number_of, tokenize(space + p[1:] if p.isascii() else p.encode().decode("latin-1").translate(self.signs))))
                 stops.append(len(ids))
-            rest = [" " + p if spaced else p for p in others.to_pylist()]
+            rest = _strings(made.slice(n_words))
             for k in range(0, len(rest), 5000):
                 for got in self.tokenizer.encode_batch_fast(rest[k : k + 5000], add_special_tokens=False):
                     ids.extend(got.ids)
                     stops.append(len(ids))
-            self.known[spaced] = pa.concat_arrays([self.known[spaced], words, others])
-            self.number[spaced] = np.append(self.number[spaced], np.arange(len(stops) - 1 - len(new), len(stops) - 1, dtype=np.int32))
-        return self.number[spaced][pc.index_in(pieces, self.known[spaced]).to_numpy()]
-
-    def _pieces(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
-        """(text, pieces, spaced): pieces in the order of the texts, the number
-        of each piece's text and whether a space stood before it. Texts where a
-        cut at every space or mark would be wrong are apart."""
+            number[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known, self.met = pa.concat_arrays([self.known, made]), np.append(self.met, np.zeros(len(new), np.int32))
+            added = new[np.argsort(hashes[new])]
+            at = np.searchsorted(self.hashes, hashes[added])
+            self.hashes, self.order = np.insert(self.hashes, at, hashes[added]), np.insert(self.order, at, number[added])
+        return number
+
+    def _pieces(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+        """(text, pieces): pieces in the order of the texts, and the number of
+        each piece's text. Texts where a cut at every space or mark would be
+        wrong are apart."""
         unsafe = pc.match_substring_regex(texts, self.unsafe)
         marked = pc.replace_substring_regex(texts.filter(pc.invert(unsafe)), WORD_END, rf"\1{MARK}\2")
         apart = pa.array([CUT.split(x) for x in texts.filter(unsafe).to_pylist()], pa.list_(pa.string()))
-        for flag, lists in ((False, pc.split_pattern(marked, " ")), (True, apart)):
+        for flag, lists in ((False, pc.split_pattern(pc.replace_substring(marked, " ", MARK + " "), MARK)), (True, apart)):
             if len(lists):
-                text = np.repeat(np.flatnonzero(unsafe.to_numpy(zero_copy_only=False) == flag), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                behind = np.append(False, text[1:] == text[:-1])
-                pieces = lists.flatten()
-                if not flag:
-                    inner = pc.split_pattern(pieces, MARK)
-                    sizes = pc.list_value_length(inner).to_numpy(zero_copy_only=False)
-                    pieces, text, led = inner.flatten(), np.repeat(text, sizes), behind
-                    behind = np.zeros(len(text), bool)
-                    behind[np.cumsum(sizes) - sizes] = led
-                yield text, pieces, behind
+                yield np.repeat(np.flatnonzero(unsafe.to_numpy(zero_copy_only=False) == flag), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, count): the ids of all texts, and how many each has."""
         if not self.cuts:
             found = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.array([i for ids in found for i in ids], np.int32), np.array([*map(len, found)], np.int64)
-        if sum(map(len, self.known)) > PIECES:
+        if len(self.known) > PIECES or len(self.ids) > IDS * PIECES:
             self._forget()
         made = []
-        for text, pieces, spaced in self._pieces(texts):
+        for text, pieces in self._pieces(texts):
             coded = pieces.dictionary_encode()
-            index, kinds = coded.indices.to_numpy(), coded.dictionary
-            number = np.zeros(2 * len(kinds), np.int32)
-            index = index + spaced * np.int32(len(kinds))
-            met = np.zeros(len(number), bool)
-            met[index] = True
-            for flag, own in enumerate(np.split(met, 2)):
-                used = np.flatnonzero(own)
-                number[used + flag * len(kinds)] = self._numbers(kinds.take(pa.array(used)), bool(flag))
-            made.append((text, number[index]))
+            made.append((text, self._numbers(coded.dictionary)[coded.indices.to_numpy()]))
         text, of = map(np.concatenate, zip(*made, strict=True))
         if len(made) > 1:
             order = np.argsort(text, kind="stable")
             text, of = text[order], of[order]
-        lists = pa.ListArray.from_arrays(pa.array(np.array(self.stops, np.int32)), pa.array(np.array(self.ids, np.int32))).take(pa.array(of))
+        lists = self._lists().take(pa.array(of))
         counts = np.diff(lists.offsets.to_numpy())
         return lists.flatten().to_numpy(), np.bincount(text, counts, len(texts)).astype(np.int64)
 
