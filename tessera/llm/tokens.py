@@ -181,7 +181,7 @@ class Encoder:
         if len(self.known) > PIECES or len(self.ids) > IDS * PIECES:
             self._forget()
         made = []
-        for text, pieces in self._pieces(texts):
+        for text, pieces in self._pieces(texts.cast(pa.string())):
             coded = pieces.dictionary_encode()
             made.append((text, self._numbers(coded.dictionary)[coded.indices.to_numpy()]))
         text, of = map(np.concatenate, zip(*made, strict=True))
